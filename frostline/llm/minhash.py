@@ -155,7 +155,7 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
         found = components(links)
     classes = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     sizes = prints.select("doc_id", "n_shingles")
-    return sizes.join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id") <=> F.col("component_id"))
+    return sizes.join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def report(documents: DataFrame) -> DataFrame:
