@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fstcount, langid, minhash, pii, suffix, tokindex
+from . import bpe, cws, fstcount, langid, minhash, pii, suffix, tokindex
 from .common import table
 
 
+def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cws.report(table(spark, sf_dir, "documents"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
