@@ -14,45 +14,57 @@ columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bucket_of, quantile_bounds, shuffle_partitions, texts_of
 
-WIDTH = 64
+WIDTH = 32
 EMPTY = "ffffffff"
-#: Above every packed sample.
-NOTHING = (1 << 63) - 1
 
 
-def _uniform(h: Column, shift: int) -> Column:
-    """One of two 31-bit uniforms in (0, 1) of a 64-bit hash."""
-    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit(0x7FFFFFFF)).cast("double") + F.lit(0.5)) * F.lit(2.0**-31)
+def _unit(h: Column, shift: int, bits: int) -> Column:
+    """A uniform in (0, 1) from some bits of a hash."""
+    return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + F.lit(0.5)) * F.lit(2.0**-bits)
 
 
 def sample(term: Column, log_weight: Column, k: int) -> Column:
     """Coordinate k of one term: its value as the high half, a hash of (term, t) as the low half of a long."""
-    h1, h2, h3 = (F.xxhash64(term, F.lit(3 * k + i)) for i in range(3))
-    r = -F.log(_uniform(h1, 0) * _uniform(h1, 32))
-    b = _uniform(h3, 0)
-    log_c = F.log(-F.log(_uniform(h2, 0) * _uniform(h2, 32)))
+    h = F.xxhash64(term, F.lit(k))
+    g = F.xxhash64(h)
+    r = -F.log(_unit(h, 0, 21) * _unit(h, 43, 21))
+    b = _unit(h, 21, 22)
+    log_c = F.log(-F.log(_unit(g, 0, 32) * _unit(g, 32, 32)))
     t = F.floor(log_weight / r + b)
-    value = log_c - r * (t - b + F.lit(1.0))
-    # an order-preserving whole number of the value: values lie far within -2000 .. 2000
-    high = F.floor((F.greatest(F.least(value, F.lit(2000.0)), F.lit(-2000.0)) + F.lit(2000.0)) * F.lit(float(1 << 19))).cast("long")
-    return F.shiftleft(high, 32).bitwiseOR(F.xxhash64(term, t, F.lit(k)).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def fingerprints(texts: DataFrame, keys: list[str], text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(*keys, sample_0 .. sample_{width-1}): packed samples of every text; no exchange if rows are dealt by one of keys."""
-    words = texts.select(*keys, F.explode(F.split(F.lower(text), r"\s+")).alias("word")).where("word != ''")
-    counted = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.log(F.count("*").cast("double")).alias("lw"))
-    return counted.groupBy(*keys).agg(*[F.min(sample(F.col("term"), F.col("lw"), k)).alias(f"sample_{k}") for k in range(width)])
+    value = log_c - r * (t - b + F.lit(1.0))  # within -2000 .. 2000 for any count, so this keeps its order:
+    high = F.floor((value + F.lit(2000.0)) * F.lit(float(1 << 19)))
+    return F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(g.bitwiseXOR(F.shiftleft(t, 40)), 32))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], width: int = WIDTH) -> DataFrame:
+    """(*keys, body_0, ...): a fingerprint of each body column by key, null where a body has no words.
+
+    A term of one weight in several bodies is sampled once. Rows dealt by one of keys aren't dealt anew.
+    """
+    every = F.filter(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(c).alias("body")) for i, c in enumerate(bodies)]), lambda s: s["body"].isNotNull())
+    words = texts.select(*keys, F.inline(every)).select(*keys, "kind", F.explode(F.split(F.lower("body"), r"\s+")).alias("word")).where("word != ''")
+    counts = [F.count(F.when(F.col("kind") == i, 1)).alias(f"n_{i}") for i in range(len(bodies))]
+    counted = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(*counts)
+    # a row for each weight of the term, with the bodies that have it as bits
+    weights = F.array_distinct(F.filter(F.array(*[f"n_{i}" for i in range(len(bodies))]), lambda n: n > 0))
+    rows = counted.select("*", F.explode(weights).alias("w"))
+    mask = sum((F.when(F.col(f"n_{i}") == F.col("w"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(len(bodies))), F.lit(0))
+    rows = rows.select(*keys, mask.alias("mask"), "term", F.log(F.col("w").cast("double")).alias("lw"))
+    names = [f"sample_{k}" for k in range(width)]
+    least = rows.groupBy(*keys, "mask").agg(*[F.min(sample(F.col("term"), F.col("lw"), k)).alias(n) for k, n in enumerate(names)])
+    owned = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) > 0
+    by_body = least.groupBy(*keys).agg(*[F.min(F.when(owned(i), F.col(n))).alias(f"{n}_{i}") for i in range(len(bodies)) for n in names])
+    return by_body.select(*keys, *[F.when(F.col(f"sample_0_{i}").isNotNull(), written([F.col(f"{n}_{i}") for n in names])).alias(f"{c}_print") for i, c in enumerate(bodies)])
 
 
 def written(samples: list[Column]) -> Column:
     """The fingerprint string: eight hex digits a coordinate."""
-    return F.concat(*[F.when(s.isNull(), F.lit(EMPTY)).otherwise(F.lower(F.lpad(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))) for s in samples])
+    return F.lower(F.concat(*[F.lpad(F.hex(s.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0") for s in samples]))
 
 
 def likeness(a: str, b: str, width: int = WIDTH) -> Column:
@@ -67,8 +79,8 @@ def likeness(a: str, b: str, width: int = WIDTH) -> Column:
 def fingerprint_documents(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint) of every row."""
     texts = texts_of(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()).repartition(shuffle_partitions(docs.sparkSession), "row")
-    found = fingerprints(texts, ["row"], width=width)
-    return texts.select("doc_id", "row").join(found, "row", "left").select("doc_id", written([F.col(f"sample_{k}") for k in range(width)]).alias("fingerprint"))
+    found = fingerprints(texts, ["row"], ["text"], width)
+    return texts.select("doc_id", "row").join(found, "row", "left").select("doc_id", F.coalesce("text_print", F.lit(EMPTY * width)).alias("fingerprint"))
 
 
 def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -89,20 +101,15 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
         F.when(F.col("doc_id") == F.lit(first), F.struct(F.lit(last).alias("bucket"), F.lit(2).alias("guest"))) if first is not None else F.lit(None),
     ))
     dealt = texts.select("*", F.inline(copies)).repartition(parts, "bucket")
-    from pyspark.sql import Window
-
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     pairs = dealt.withColumn("following", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     cut = F.floor(F.length("text") / 4).cast("int")
     edited = F.when(F.col("guest") == 0, F.concat(F.substring("text", F.lit(1), F.length("text") - cut), F.substring(F.coalesce("following", F.lit("")), F.lit(1), cut)))
     both = pairs.select("bucket", "row", "doc_id", "guest", "text", edited.alias("edited"))
     keys = ["bucket", "row"]
-    kinds = F.filter(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("body")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"))), lambda s: s["body"].isNotNull())
-    bodies = both.select(*keys, F.inline(kinds))
-    found = fingerprints(bodies, [*keys, "kind"], "body", width)
-    prints = found.groupBy(*keys).agg(*[F.max(F.when(F.col("kind") == k, written([F.col(f"sample_{i}") for i in range(width)]))).alias(n) for k, n in ((0, "own"), (1, "changed"))])
+    prints = fingerprints(both, keys, ["text", "edited"], width)
     facts = both.select(*keys, "doc_id", "guest", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     none = EMPTY * width
-    joined = facts.join(prints, keys, "left").select(*keys, "doc_id", "guest", "n_chars", "edited_sha256", F.coalesce("own", F.lit(none)).alias("fingerprint"), F.coalesce("changed", F.lit(none)).alias("edited_fingerprint"))
+    joined = facts.join(prints, keys, "left").select(*keys, "doc_id", "guest", "n_chars", "edited_sha256", F.coalesce("text_print", F.lit(none)).alias("fingerprint"), F.coalesce("edited_print", F.lit(none)).alias("edited_fingerprint"))
     follow = joined.withColumn("next_fingerprint", F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("row")))
     return follow.where("guest = 0").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", width).alias("near_edited"), likeness("fingerprint", "next_fingerprint", width).alias("near_next"))
