@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, cws, fstcount, langid, minhash, pii, suffix, tokindex
+from . import bpe, cws, fstcount, langid, minhash, multiindex, pii, suffix, tokindex
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_weighted_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cws.report(table(spark, sf_dir, "documents"))
 
 
+def op2_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiindex.report(table(spark, sf_dir, "embeddings"))
+
+
 def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
