@@ -1,8 +1,64 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: language, near-duplicates, personal data, mixture, token ids.
 
-STAGES = []
+Every stage takes what its predecessor kept and, but for the last, returns the columns of documents. Null and empty
+texts have no language and go in the first stage; an empty table stays empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from frostline.llm import bpe, langid, minhash, mixing, pii
+from frostline.llm.common import cut, map_slices, texts_of
+
+#: Shares of the mixture; toxic text gets none, and good text is never thinned (see mix_documents).
+MIXTURE = {"good": 0.8, "plain": 0.2, "toxic": 0.0}
+
+
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a language and texts whose best language has under half of the words."""
+    return langid.accept(docs, langid.train(docs))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one of least id."""
+    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to its kind."""
+    return pii.redact_documents(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents go or repeat by rates that meet MIXTURE."""
+    return mixing.mix_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), MIXTURE)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids, round_trip): ids of the text, and whether decoding them gives the text again."""
+
+    def run(keys, texts):
+        v = bpe.vocabulary()
+        ids = [bpe.np.frombuffer(x, "<u4").astype("i4") for x in v.encode(texts)]
+        back = [v.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
+        return {"doc_id": keys, "n_tokens": list(map(len, ids)), "ids": ids, "round_trip": back}
+
+    return map_slices(texts_of(docs), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
+STAGES = [("language", languages), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixture", mixture), ("token ids", token_ids)]
+
+#: Trained models and hashing are beyond SQL; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = cut(docs)
+    return docs
