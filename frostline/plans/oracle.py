@@ -1,4 +1,7 @@
-"""The registered queries as DuckDB SQL over the given tables, written apart from the DataFrame plans."""
+"""The registered queries as DuckDB SQL over the given tables, written apart from the DataFrame plans.
+
+Adding 0e0 turns a negative zero into zero, as rounding does in Spark.
+"""
 
 from __future__ import annotations
 
@@ -218,7 +221,7 @@ SQL: dict[str, str] = {
     "tfidf_vectors": with_("SELECT item, term, round(w, 6) w FROM vec"),
     "zero_vectors": with_("SELECT 'train' pool, count(*) items FROM trainitems WHERE item NOT IN (SELECT item FROM vec) UNION ALL SELECT 'cold', count(*) FROM cand WHERE item NOT IN (SELECT item FROM vec)"),
     "user_text_profile": with_("SELECT uid, term, round(w, 6) w FROM prof"),
-    "user_dense_profile": with_("SELECT uid, CAST(pos AS INT) pos, round(x, 6) x FROM dprof"),
+    "user_dense_profile": with_("SELECT uid, CAST(pos AS INT) pos, round(x, 6) + 0e0 x FROM dprof"),
     "text_scores": with_("SELECT uid, item, round(score, 6) score FROM tsc"),
     "text_topk": with_("SELECT uid, item, round(score, 6) score, rank FROM trk WHERE rank <= 50"),
     "text_metrics": with_(metrics_of("trk")),
@@ -226,7 +229,7 @@ SQL: dict[str, str] = {
     "title_overlap_audit": with_("""SELECT (SELECT count(*) FROM pos JOIN names USING (item) WHERE EXISTS (SELECT 1 FROM hist JOIN names n2 USING (item) WHERE hist.uid = pos.uid AND n2.t = names.t)) positives_in_own_history,
       (SELECT count(*) FROM cand JOIN names USING (item) WHERE t IN (SELECT t FROM trainitems JOIN names USING (item))) candidates_seen_in_train, (SELECT count(*) - count(DISTINCT t) FROM cand JOIN names USING (item)) repeated_candidate_titles"""),
     "random_metrics": with_(metrics_of("rnd"), f"rnd AS (SELECT uid, item, row_number() OVER (PARTITION BY uid ORDER BY md5(concat('{SEED}:', uid, ':', item)), item) rank FROM usr CROSS JOIN cand)"),
-    "dense_scores_topk": with_("SELECT uid, item, round(score, 6) score, rank FROM vrk WHERE rank <= 50"),
+    "dense_scores_topk": with_("SELECT uid, item, round(score, 6) + 0e0 score, rank FROM vrk WHERE rank <= 50"),
     "visual_metrics": with_(metrics_of("vrk")),
     "visual_metrics_by_bucket": with_(f"SELECT bucket, k, {MEANS} FROM ({users_of('vrk')}) JOIN thin USING (uid) GROUP BY ALL"),
     "hamming_nearest": hashes("SELECT item, nearest_item, CAST(distance AS INT) distance FROM near"),
@@ -256,8 +259,8 @@ SQL: dict[str, str] = {
     "loo_targets": with_("SELECT uid, item, ts_ms FROM loo", *PAIRS),
     "availability_asof": with_("SELECT uid, item, available FROM avail", *PAIRS),
     "negative_samples": with_("SELECT uid, neg_item, CAST(draw AS INT) draw FROM negs", *PAIRS),
-    "pair_features": with_("SELECT uid, neg_item, " + ", ".join(f"round({s}_{c}, 6) {s}_{c}" for s in ("pos", "neg") for c in ("text", "visual", "product")) + ", is_calibration FROM pairs", *PAIRS),
-    "pair_standardization": with_("SELECT feature, round(mean, 6) mean, round(std, 6) std, round(low, 6) low, round(high, 6) high FROM stats", *PAIRS),
+    "pair_features": with_("SELECT uid, neg_item, " + ", ".join(f"round({s}_{c}, 6) + 0e0 {s}_{c}" for s in ("pos", "neg") for c in ("text", "visual", "product")) + ", is_calibration FROM pairs", *PAIRS),
+    "pair_standardization": with_("SELECT feature, round(mean, 6) mean, round(std, 6) std, round(low, 6) + 0e0 low, round(high, 6) + 0e0 high FROM stats", *PAIRS),
     "pair_accuracy": with_("SELECT feature, round(avg(CAST(p - n > 0 AS DOUBLE)), 6) strict_accuracy, round(avg(CAST(p - n = 0 AS DOUBLE)), 6) tie_rate FROM tall GROUP BY feature", *PAIRS),
     "learned_fusion_metrics": with_(metrics_of("lrk"), *LEARNED),
     "acceptance_gate": with_(f"SELECT l.ndcg > t.ndcg AND l.recall > t.recall accepted FROM ({metrics_of('lrk')}) l, ({metrics_of('trk')}) t WHERE l.k = 10 AND t.k = 10", *LEARNED),
@@ -294,7 +297,7 @@ SQL: dict[str, str] = {
     ),
     "exact_duplicate_groups": with_("SELECT sha256(text) digest, count(*) n, min(doc_id) first_item, max(doc_id) last_item FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "duplicate_cross_boundary": with_("SELECT digest, count(*) n FROM (SELECT sha256(text) digest, doc_id IN (SELECT item FROM trainitems) t, doc_id IN (SELECT item FROM cand) c FROM documents) WHERE t OR c GROUP BY digest HAVING bool_or(t) AND bool_or(c)"),
-    "self_join_similarity_top10": with_("""SELECT item_a, item_b, round(s, 6) similarity FROM (SELECT a.item item_a, b.item item_b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 9) s FROM emb a JOIN emb b ON a.pos = b.pos AND a.item < b.item
+    "self_join_similarity_top10": with_("""SELECT item_a, item_b, round(s, 6) + 0e0 similarity FROM (SELECT a.item item_a, b.item item_b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 9) s FROM emb a JOIN emb b ON a.pos = b.pos AND a.item < b.item
       WHERE a.item IN (SELECT item FROM cand) AND b.item IN (SELECT item FROM cand) GROUP BY ALL) ORDER BY s DESC, item_a, item_b LIMIT 10"""),
     "dhash_from_grid": """SELECT part, string_agg(printf('%X', nibble), '' ORDER BY y, h) dhash FROM (SELECT part, y, x // 4 h, CAST(sum(CASE WHEN (part * 31 + y * 17 + x * x * part) % 256 > (part * 31 + y * 17 + (x + 1) * (x + 1) * part) % 256 THEN 1 << (3 - x % 4)::INT ELSE 0 END) AS BIGINT) nibble
       FROM (SELECT CAST(p_partkey AS BIGINT) part FROM part WHERE p_partkey <= 500) CROSS JOIN range(0, 8) a(y) CROSS JOIN range(0, 8) b(x) GROUP BY ALL) GROUP BY part""",
