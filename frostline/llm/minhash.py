@@ -6,8 +6,9 @@ SPAN places, a second one values the places, and coordinate k of the signature i
 permutation is shifted by k places. Bands of the signature propose candidates; the full sets decide.
 
 No group is expanded into all its pairs: equal sets collapse into one class first; in a band's bucket every class is
-compared with the bucket's smallest one; only classes of a bucket that are still in different components are compared
-with each other afterwards. Pairs within one component need no check, since they can't change the answer.
+compared with the bucket's smallest one, its head. Where members of a head's buckets are then in different components,
+blocks of them are compared by matrix products, which yield connections, never lists of pairs; pairs of blocks that lie
+in one component are skipped, since they can't change the answer.
 
 Defined results: null or empty texts and texts without words have no shingles and link with nothing; fewer words than
 a shingle form one shingle; repeated rows of one id count as one document; other columns are ignored.
@@ -18,17 +19,20 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_slices, texts_of
+from .common import arrow_schema, cut, map_slices, shuffle_partitions, texts_of
 from .components import components
 from .hashing import SpanHasher, scramble
 
 SPAN = 1 << 20
 ROWS, BANDS = 5, 25
 WIDTH = ROWS * BANDS
+#: Members and bytes of a block, columns of a product, tasks that a group is spread over.
+BLOCK, BLOCK_BYTES, COLUMNS, SALTS = 256, 4 << 20, 4096, 8
 
 # Bytes that part words, and the lower-casing of A-Z.
 BLANK = np.zeros(256, bool)
@@ -101,20 +105,20 @@ def fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return map_slices(docs, run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(doc_id, set): the sorted shingle hashes of the documents named."""
 
     def sets(keys, texts):
         return {"doc_id": keys, "set": [s.tobytes() for s in shingle_sets(texts, words)]}
 
-    known = map_slices(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
-    known = cut(known)
-    joined = pairs.join(known.toDF("a", "left"), "a").join(known.toDF("b", "right"), "b")
+    return map_slices(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
 
-    def judge(batches):
-        import pyarrow as pa
 
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    joined = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+
+    def judge(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist(), strict=True):
@@ -129,6 +133,88 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
     return joined.select("a", "b", "left", "right").mapInArrow(judge, "a long, b long")
 
 
+def common(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of x with every set of y, by products of indicator matrices."""
+    shared = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+
+    def places(sets):
+        row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+        flat = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(shared, flat), max(0, len(shared) - 1))
+        hit = shared[at] == flat if len(shared) else np.zeros(len(flat), bool)
+        return row[hit], at[hit]
+
+    (rx, cx), (ry, cy) = places(x), places(y)
+    for lo in range(0, len(shared), COLUMNS):
+        left, right = np.zeros((len(x), COLUMNS), np.float32), np.zeros((len(y), COLUMNS), np.float32)
+        own = (cx >= lo) & (cx < lo + COLUMNS)
+        left[rx[own], cx[own] - lo] = 1
+        own = (cy >= lo) & (cy < lo + COLUMNS)
+        right[ry[own], cy[own] - lo] = 1
+        out += left @ right.T
+    return out.astype(np.int64)
+
+
+BLOCKS = "head long, block string, component_low long, component_high long, ids binary, components binary, sizes binary, sets binary"
+
+
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) that connect what the links between different components of a group connect.
+
+    members has (head, b, component, set). A group's members come in blocks; pairs of blocks are compared in full, and
+    only connections come out: for each linked member the smallest one that it is connected to within the two blocks.
+    """
+    parts = shuffle_partitions(members.sparkSession)
+    schema = arrow_schema(members.sparkSession.createDataFrame([], BLOCKS).schema)
+
+    def gather(batches):
+        key, held, size = None, [], 0
+
+        def block():
+            ids, comps, sets = zip(*held, strict=True)
+            row = (key[0], f"{key[1]}:{min(ids)}", min(comps), max(comps), np.array(ids, "<i8").tobytes(), np.array(comps, "<i8").tobytes(), np.array([len(s) // 8 for s in sets], "<i8").tobytes(), b"".join(sets))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for head, salt, b, comp, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and ((head, salt) != key or len(held) >= BLOCK or size >= BLOCK_BYTES):
+                    yield block()
+                    held, size = [], 0
+                key = (head, salt)
+                held.append((b, comp, data))
+                size += len(data)
+        if held:
+            yield block()
+
+    salted = members.select("head", F.pmod("component", F.lit(SALTS)).alias("salt"), "b", "component", "set")
+    blocks = cut(salted.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "component", "b").mapInArrow(gather, BLOCKS))
+    left = blocks.select(*[F.col(c).alias(c if c == "head" else f"{c}_l") for c in blocks.columns])
+    apart = (F.col("component_low") != F.col("component_high")) | (F.col("component_low_l") != F.col("component_high_l")) | (F.col("component_low") != F.col("component_low_l"))
+    pairs = left.join(blocks, "head").where((F.col("block_l") <= F.col("block")) & apart)
+
+    def compare(batches):
+        target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        for batch in batches:
+            for x in zip(*(batch.column(c).to_pylist() for n in ("_l", "") for c in (f"ids{n}", f"components{n}", f"sizes{n}", f"sets{n}")), strict=True):
+                (ia, ca, na, sa), (ib, cb, nb, sb) = ([np.frombuffer(v, np.int64 if k < 3 else np.uint64) for k, v in enumerate(part)] for part in (x[:4], x[4:]))
+                both = common(np.split(sa, np.cumsum(na)[:-1]), np.split(sb, np.cumsum(nb)[:-1]))
+                hit = (100 * both >= percent * (na[:, None] + nb[None] - both)) & (ca[:, None] != cb[None])
+                if not hit.any():
+                    continue
+                far, own, other = np.iinfo(np.int64).max, ia.copy(), ib.copy()
+                while True:  # labels run along the links until they rest
+                    new = np.minimum(own, np.where(hit, other[None], far).min(1))
+                    onward = np.minimum(other, np.where(hit, new[:, None], far).min(0))
+                    if (new == own).all() and (onward == other).all():
+                        break
+                    own, other = new, onward
+                some, too = hit.any(1), hit.any(0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ia[some], ib[too]])), pa.array(np.concatenate([own[some], other[too]]))], schema=target)
+
+    return pairs.drop("head", "block", "block_l").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the smallest id reachable over links of Jaccard >= percent / 100."""
     docs = texts_of(documents, id_col, text_col)
@@ -137,22 +223,20 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     members = some.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep")
     own = some.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = own.select(F.col("doc_id").alias("b"), "n_shingles", F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("a")).where("n > 1").select("band", "a")
-    buckets = cut(entries.join(shared, "band"))
-    stars = buckets.where("a != b").select("a", "b").distinct()
-    links = cut(verified(docs, cut(stars), words, percent))
+    entries = own.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("head")).where("n > 1").select("band", "head")
+    groups = cut(entries.join(shared, "band").select("head", "b").distinct())
+    stars = groups.where("head != b").select(F.col("head").alias("a"), "b")
+    sets = cut(sets_of(docs, groups.select(F.col("b").alias("doc_id")).distinct(), words))
+    links = cut(verified(stars, sets, percent))
     found = components(links)
-    # classes of a bucket that are still apart: compare them with each other, star pairs excepted
-    placed = cut(buckets.join(found.withColumnRenamed("id", "b"), "b", "left").withColumn("component", F.coalesce("component", "b")))
-    apart = placed.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least < most").select("band")
-    rest = placed.join(apart, "band").where("a != b").select("band", "b", "component", "n_shingles")
-    other = rest.toDF("band", "b2", "component2", "n2")
-    more = rest.join(other, "band").where((F.col("b") < F.col("b2")) & (F.col("component") != F.col("component2")) & (100 * F.least("n_shingles", "n2") >= percent * F.greatest("n_shingles", "n2")))
-    extra = cut(more.select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct())
-    if not extra.isEmpty():
-        links = links.union(cut(verified(docs, extra, words, percent)))
-        found = components(links)
+    # two classes that share a bucket share its head; groups of a head whose members are still apart are compared inside
+    placed = cut(groups.join(found.withColumnRenamed("id", "b"), "b", "left").select("head", "b", F.coalesce("component", "b").alias("component")))
+    apart = placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("head")
+    rest = placed.join(apart, "head").join(sets.withColumnRenamed("doc_id", "b"), "b").select("head", "b", "component", "set")
+    more = cut(across(rest, percent))
+    if not more.isEmpty():
+        found = components(links.union(more))
     classes = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     sizes = prints.select("doc_id", "n_shingles")
     return sizes.join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
