@@ -54,5 +54,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+REACH = """reach AS (SELECT id, id c FROM ids UNION SELECT l.b, r.c FROM reach r JOIN links l ON l.a = r.id WHERE r.c < l.b),
+comps AS (SELECT id, min(c) component_id FROM reach GROUP BY id)"""
+
+OP2 = f"""WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id a, b.vec_id b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+ids AS (SELECT vec_id id FROM embeddings),
+{REACH}
+SELECT id vec_id, (SELECT count(*) FROM links WHERE a = id) n_links, component_id, id = component_id kept FROM comps"""
+
+OP3 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) g FROM w),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id a, b.doc_id b, count(*) k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= 80 * (na.n + nb.n - k)),
+ids AS (SELECT doc_id id FROM documents),
+{REACH}
+SELECT id doc_id, coalesce(n.n, 0) n_shingles, component_id, id = component_id kept FROM comps LEFT JOIN n ON n.doc_id = id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_inverted_multi_index": OP2, "op3_circulant_minhash": OP3}
