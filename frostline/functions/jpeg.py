@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 # Frame headers that carry dimensions, and markers without a length.
 FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
@@ -32,7 +35,7 @@ def dimensions(data: bytes | None) -> tuple[int, int] | None:
         at += max(2, size)
 
 
-@F.pandas_udf("width int, height int")
+@F.pandas_udf(SIZE)
 def jpeg_dimensions(content: pd.Series) -> pd.DataFrame:
     found = [dimensions(c) or (None, None) for c in content]
     return pd.DataFrame(found, columns=["width", "height"]).astype("Int32")
