@@ -26,7 +26,10 @@ from .hashing import SpanHasher, scramble
 
 LEAST = 50
 GRAM = 16
-PIECE = 1 << 21
+#: Bytes of text whose windows are hashed at a time.
+PIECE = 1 << 19
+#: Rounds that a bucket is settled in, by minimizer, so that its suffix arrays stay small.
+ROUNDS = 16
 NO_ID = -(2**63)
 _hash = SpanHasher(29)
 _letters = scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -45,8 +48,9 @@ def minimizers(tape: np.ndarray, least: int) -> np.ndarray:
     return np.minimum(h[: len(h) - (width - have)], h[width - have :]) if width > have else h
 
 
-def segments(raws: list[bytes], least: int, hashed: bool) -> tuple[np.ndarray, ...]:
-    """Runs of windows with one minimizer: minimizer, document index, first window, windows, hash of the bytes."""
+def segments(raws: list[bytes], least: int, repeated: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Runs of windows with one minimizer: minimizer, document index, first window, windows; given the repeated
+    minimizers, of those only, and with a hash of the bytes too."""
     pieces = [(d, lo, r[lo : lo + PIECE + least - 1]) for d, r in enumerate(raws) for lo in range(0, max(0, len(r) - least + 1), PIECE)]
     found, at = [], 0
     while at < len(pieces):
@@ -65,10 +69,13 @@ def segments(raws: list[bytes], least: int, hashed: bool) -> tuple[np.ndarray, .
         change = m[1:] != m[:-1]
         first = np.flatnonzero(valid & np.concatenate([[True], change | ~valid[:-1]]))
         last = np.flatnonzero(valid & np.concatenate([change | ~valid[1:], [True]]))
+        if repeated is not None:
+            keep = member(m[first], repeated)
+            first, last = first[keep], last[keep]
         owner = np.searchsorted(base, first, "right") - 1
         docs, los = np.array([d for d, _, _ in part]), np.array([lo for _, lo, _ in part])
         count = last - first + 1
-        found.append((m[first], docs[owner], first - base[owner] + los[owner], count, _hash(tape, first, count + least - 1) if hashed else np.zeros(0, np.uint64)))
+        found.append((m[first], docs[owner], first - base[owner] + los[owner], count, _hash(tape, first, count + least - 1) if repeated is not None and len(first) else np.zeros(0, np.uint64)))
     kinds = (np.uint64, np.int64, np.int64, np.int64, np.uint64)
     return tuple(np.concatenate([np.zeros(0, k), *[f[i] for f in found]]) for i, k in enumerate(kinds))
 
@@ -149,9 +156,7 @@ class Part:
     """The candidate segments of one part's documents, equal ones once, in an order that any rerun finds again."""
 
     def __init__(self, ids: np.ndarray, raws: list[bytes], repeated: np.ndarray, buckets: int, least: int):
-        m, doc, start, count, h = segments(raws, least, True)
-        keep = member(m, repeated)
-        m, self.doc, self.start, self.count, h = m[keep], doc[keep], start[keep], count[keep], h[keep]
+        m, self.doc, self.start, self.count, h = segments(raws, least, repeated)
         bucket = (m % np.uint64(buckets)).astype(np.int64)
         order = np.lexsort((self.doc, h, m, bucket))
         new = np.concatenate([[True], (m[order][1:] != m[order][:-1]) | (h[order][1:] != h[order][:-1])]) if len(m) else np.zeros(0, bool)
@@ -159,24 +164,26 @@ class Part:
         self.which[order] = np.cumsum(new) - 1
         self.first = order[new]  # an occurrence of each distinct segment
         self.bucket = bucket[self.first]
+        self.round = (m[self.first] // np.uint64(buckets) % np.uint64(ROUNDS)).astype(np.uint8)
         starts = np.flatnonzero(new)
         self.least_doc = np.minimum.reduceat(ids[self.doc[order]], starts) if len(m) else np.zeros(0, np.int64)
 
 
 def _docs(table: pa.Table) -> tuple[np.ndarray, list[bytes]]:
     ids = np.array([NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-    return ids, [t.encode("utf-8", "surrogatepass") for t in table.column("text").to_pylist()]
+    return ids, table.column("text").cast(pa.binary()).to_pylist()
 
 
 HASHES = "bucket int, part int, every binary, several binary"
 REPEATED = "part int, hashes binary"
-SEGMENTS = "bucket int, part int, sizes binary, docs binary, bytes binary"
+SEGMENTS = "bucket int, part int, rounds binary, sizes binary, docs binary, bytes binary"
 FOUND = "part int, bucket int, pieces binary, counts binary, docs binary"
 
 
 def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; kept holds the remaining bytes."""
-    spark, parts = documents.sparkSession, shuffle_partitions(documents.sparkSession)
+    spark, buckets = documents.sparkSession, shuffle_partitions(documents.sparkSession)
+    parts = 2 * buckets
     docs = texts_of(documents, id_col, text_col).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).repartition(parts, "part")
     result = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if want_text else "")
     schemas = {s: arrow_schema(spark.createDataFrame([], s).schema) for s in (HASHES, REPEATED, SEGMENTS, FOUND, result)}
@@ -187,7 +194,7 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_
 
     def hashes(table: pa.Table) -> pa.Table:
         ids, raws = _docs(table)
-        m, doc, *_ = segments(raws, least, False)
+        m, doc, *_ = segments(raws, least)
         if not len(m):
             return rows(HASHES, [])
         own = ids[doc]
@@ -196,11 +203,11 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_
         starts = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
         ends = np.append(starts[1:], len(m)) - 1
         m, several = m[starts], own[starts] != own[ends]
-        bucket = (m % np.uint64(parts)).astype(np.int64)
+        bucket = (m % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[order], np.arange(parts + 1))
+        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
         part = table.column("part")[0].as_py()
-        return rows(HASHES, [(b, part, m[o].tobytes(), m[o][several[o]].tobytes()) for b in range(parts) if len(o := order[cuts[b] : cuts[b + 1]])])
+        return rows(HASHES, [(b, part, m[o].tobytes(), m[o][several[o]].tobytes()) for b in range(buckets) if len(o := order[cuts[b] : cuts[b + 1]])])
 
     def repeated(table: pa.Table) -> pa.Table:
         every = [np.frombuffer(x, np.uint64) for x in table.column("every").to_pylist()]
@@ -218,35 +225,43 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_
         if not left.num_rows:
             return rows(SEGMENTS, [])
         ids, raws, known = candidates(left, right)
-        p, part = Part(ids, raws, known, parts, least), left.column("part")[0].as_py()
-        cuts, out = np.searchsorted(p.bucket, np.arange(parts + 1)), []
-        for b in range(parts):
+        p, part = Part(ids, raws, known, buckets, least), left.column("part")[0].as_py()
+        cuts, out = np.searchsorted(p.bucket, np.arange(buckets + 1)), []
+        for b in range(buckets):
             own = slice(cuts[b], cuts[b + 1])
             if cuts[b] < cuts[b + 1]:
                 at = p.first[own]
                 segs = [raws[d][s : s + n + least - 1] for d, s, n in zip(p.doc[at].tolist(), p.start[at].tolist(), p.count[at].tolist(), strict=True)]
-                out.append((b, part, np.array(list(map(len, segs)), "<i4").tobytes(), p.least_doc[own].tobytes(), b"".join(segs)))
+                out.append((b, part, p.round[own].tobytes(), np.array(list(map(len, segs)), "<i4").tobytes(), p.least_doc[own].tobytes(), b"".join(segs)))
         return rows(SEGMENTS, out)
 
     def settle(table: pa.Table) -> pa.Table:
-        names, docs_of, held = [], [], []
-        for sizes, docs_, data in zip(*(table.column(c).to_pylist() for c in ("sizes", "docs", "bytes")), strict=True):
+        names, docs_of, rounds, held = [], [], [], []
+        for turn, sizes, docs_, data in zip(*(table.column(c).to_pylist() for c in ("rounds", "sizes", "docs", "bytes")), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, "<i4")).tolist()
             held.append(len(ends))
             names += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             docs_of.append(np.frombuffer(docs_, np.int64))
-        place: dict[bytes, int] = {}
-        which = np.array([place.setdefault(s, len(place)) for s in names])
-        docs_ = np.full(len(place), np.iinfo(np.int64).max)
-        np.minimum.at(docs_, which, np.concatenate(docs_of))
-        first = earliest(list(place), docs_, least)
-        runs = []
-        for v in first:
-            edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
-            runs.append((len(edge), np.diff(np.append(edge, len(v))).astype("<i4").tobytes(), v[edge].tobytes()))
+            rounds.append(np.frombuffer(turn, np.uint8))
+        docs_of, rounds = np.concatenate(docs_of), np.concatenate(rounds)
+        runs: list = [None] * len(names)
+        for turn in range(ROUNDS):  # equal windows have equal minimizers, and so a round in common
+            own = np.flatnonzero(rounds == turn)
+            if not len(own):
+                continue
+            place: dict[bytes, int] = {}
+            which = np.array([place.setdefault(names[i], len(place)) for i in own.tolist()])
+            docs_ = np.full(len(place), np.iinfo(np.int64).max)
+            np.minimum.at(docs_, which, docs_of[own])
+            found = []
+            for v in earliest(list(place), docs_, least):
+                edge = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]]))
+                found.append((len(edge), np.diff(np.append(edge, len(v))).astype("<i4").tobytes(), v[edge].tobytes()))
+            for i, w in zip(own.tolist(), which.tolist(), strict=True):
+                runs[i] = found[w]
         out, at, bucket = [], 0, table.column("bucket")[0].as_py()
         for part, n in zip(table.column("part").to_pylist(), held, strict=True):
-            own = [runs[w] for w in which[at : at + n].tolist()]
+            own = runs[at : at + n]
             at += n
             out.append((part, bucket, np.array([r[0] for r in own], "<i4").tobytes(), b"".join(r[1] for r in own), b"".join(r[2] for r in own)))
         return rows(FOUND, out)
@@ -258,7 +273,7 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_
         found = sorted(zip(*(right.column(c).to_pylist() for c in ("bucket", "pieces", "counts", "docs", "hashes")), strict=True), key=lambda r: r[0])
         join = lambda i, t: np.frombuffer(b"".join(r[i] for r in found if r[i] is not None), t)
         known = np.sort(join(4, np.uint64))
-        p = Part(ids, raws, known, parts, least)
+        p = Part(ids, raws, known, buckets, least)
         pieces, counts, firsts = join(1, "<i4").astype(np.int64), join(2, "<i4").astype(np.int64), join(3, np.int64)
         if len(pieces) != len(p.first):
             raise ValueError("answers do not match the segments asked about")
