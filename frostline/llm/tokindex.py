@@ -18,7 +18,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import segments
@@ -31,7 +31,7 @@ MEMO = 600_000
 NULL_KEY = -(2**63)
 #: Salts from here on belong to the displacements.
 TRIES = 16
-SHARDS = "bucket int, seq int, n_docs long, n_tokens long, width int, keys binary, nulls binary, ordinals binary, seeds binary, slots binary, payload binary"
+SHARDS = "bucket int, seq int, before long, n_docs long, n_tokens long, width int, keys binary, nulls binary, ordinals binary, seeds binary, slots binary, payload binary"
 SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u8")])
 
 
@@ -189,10 +189,10 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([END_ID], f"<u{enc.width}").tobytes()
-        bucket, seq, held, ids, seen, last = None, 0, [], 0, Counter(), None
+        bucket, seq, before, held, ids, seen, last = None, 0, 0, [], 0, Counter(), None
 
         def shard():
-            row = pack(held, enc.width) | {"bucket": bucket, "seq": seq}
+            row = pack(held, enc.width) | {"bucket": bucket, "seq": seq, "before": before}
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
         for batch in batches:
@@ -201,7 +201,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
                 for key, b, payload in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     if held and (b != bucket or ids >= shard_ids):
                         yield shard()
-                        seq, held, ids = (seq + 1 if b == bucket else 0), [], 0
+                        seq, before = (seq + 1, before + ids) if b == bucket else (0, 0)
+                        held, ids = [], 0
                     if key != last:
                         seen.clear()
                     bucket, last = b, key
@@ -215,17 +216,15 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard rows with `start`: the ids in all shards before them, by bucket totals first."""
+    """The shard rows with `start`: the ids in all shards before them. A shard knows those of its own bucket."""
     shards = spark.read.schema(SHARDS).parquet(path)
-    sizes = shards.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).collect()  # a row a bucket: bounded by the number of buckets
-    before, at = {}, 0
-    for r in sorted(sizes):
-        before[r.bucket] = at
-        at += r.n
-    starts = spark.createDataFrame(list(before.items()), "bucket int, base long")
-    inner = shards.select("bucket", "seq", "n_tokens").withColumn("inner", F.sum("n_tokens").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)))
-    places = inner.join(starts, "bucket").select("bucket", "seq", (F.col("base") + F.coalesce("inner", F.lit(0))).alias("start"))
-    return shards.join(places, ["bucket", "seq"])
+    sizes = dict(shards.groupBy("bucket").agg(F.sum("n_tokens")).collect())  # a row a bucket: bounded by the buckets' number
+    before, at = [], 0
+    for b in range(max(sizes, default=-1) + 1):
+        before.append(at)
+        at += sizes.get(b, 0)
+    start = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), F.col("bucket") + 1) + F.col("before")
+    return shards.withColumn("start", start)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
