@@ -214,9 +214,14 @@ def text_diagnostics(s: Study) -> DataFrame:
     return s.users.join(profiled, "uid", "left").join(best, "uid", "left").agg(F.count("*").alias("users"), F.count_if(F.col("has").isNull()).alias("empty_profiles"), F.count_if(F.coalesce("best", F.lit(0.0)) == 0).alias("all_zero_users"))
 
 
+def named_titles(s: Study) -> DataFrame:
+    """(item, t): a digest of the normalised title, so that histories don't carry whole texts."""
+    return s.titles.select("item", F.sha2(core.normalised_title("title").cast("binary"), 256).alias("t"))
+
+
 @query
 def title_overlap_audit(s: Study) -> DataFrame:
-    named = s.titles.select("item", core.normalised_title("title").alias("t"))
+    named = named_titles(s)
     past = s.history.join(named, "item").select("uid", "t").distinct()
     own = s.positives.join(named, "item").join(past, ["uid", "t"], "left_semi").agg(F.count("*").alias("positives_in_own_history"))
     seen = s.dev.train_items.join(named, "item").select("t").distinct()
@@ -445,7 +450,7 @@ def history_buckets(s: Study) -> DataFrame:
 
 def cases(s: Study) -> DataFrame:
     """(uid, best_item, best_rank, best_score, top_item, top_score, exact)."""
-    named = s.titles.select("item", core.normalised_title("title").alias("t"))
+    named = named_titles(s)
     best = positive_ranks(s).groupBy("uid").agg(F.min(F.struct("rank", "item", "score")).alias("b")).select("uid", F.col("b.item").alias("best_item"), F.col("b.rank").alias("best_rank"), F.col("b.score").alias("best_score"))
     top = s.text_ranks.where("rank = 1").select("uid", F.col("item").alias("top_item"), F.col("score").alias("top_score"))
     past = s.history.join(named, "item").select("uid", "t").distinct().withColumn("exact", F.lit(True))

@@ -47,7 +47,8 @@ class Study:
 
     @cached_property
     def titles(self) -> DataFrame:
-        docs = self.table("documents").select(F.col("doc_id").alias("item"), F.substring("text", 1, 120).alias("title"))
+        """Whole texts of the items that occur."""
+        docs = self.table("documents").select(F.col("doc_id").alias("item"), F.col("text").alias("title"))
         return docs.join(self.interactions.select("item").distinct(), "item", "left_semi")
 
     @cached_property
