@@ -252,7 +252,7 @@ def visual_metrics(s: Study) -> DataFrame:
 @query
 def visual_metrics_by_bucket(s: Study) -> DataFrame:
     per_user = rank.user_metrics(s.dense_ranks, s.positives)
-    return rank.averages(per_user.join(s.thin_buckets, "uid"), "bucket", "k")
+    return rank.averages(per_user.join(s.buckets, "uid"), "bucket", "k")
 
 
 def hash_sides(s: Study) -> tuple[DataFrame, DataFrame]:
@@ -445,7 +445,7 @@ def near_duplicate_audit(s: Study) -> DataFrame:
 @query
 def history_buckets(s: Study) -> DataFrame:
     per_user = rank.user_metrics(s.text_ranks, s.positives, (10,))
-    return rank.averages(per_user.join(s.thin_buckets, "uid"), "bucket")
+    return rank.averages(per_user.join(s.buckets, "uid"), "bucket")
 
 
 def cases(s: Study) -> DataFrame:
@@ -490,7 +490,7 @@ def demo_samples(s: Study) -> DataFrame:
     """One user per bucket and outcome: the least hash."""
     hits = rank.hit_flags(s.text_ranks, s.positives, "hit")
     outcome = F.when(F.col("hit"), "hit").otherwise("miss")
-    rows = hits.join(s.thin_buckets, "uid").select("bucket", outcome.alias("outcome"), "uid", F.sha2(F.concat(F.lit("sample:"), F.col("uid").cast("string")).cast("binary"), 256).alias("h"))
+    rows = hits.join(s.buckets, "uid").select("bucket", outcome.alias("outcome"), "uid", F.sha2(F.concat(F.lit("sample:"), F.col("uid").cast("string")).cast("binary"), 256).alias("h"))
     picked = rows.groupBy("bucket", "outcome").agg(F.min(F.struct("h", "uid")).alias("m")).select("bucket", "outcome", F.col("m.uid").alias("uid"))
     titles = s.titles.select("item", core.shortened("title").alias("t"))
     last = Window.partitionBy("uid").orderBy(F.desc("event_id"))

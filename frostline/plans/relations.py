@@ -122,7 +122,7 @@ class Study:
         return self.history.groupBy("uid").agg(F.count("*").alias("n"))
 
     @cached_property
-    def thin_buckets(self) -> DataFrame:
-        """(uid, bucket) of histories thinned so that every bucket has users."""
-        kept = self.history.where(F.col("event_id") % 16 < 1 + F.col("uid") % 4)
-        return kept.groupBy("uid").agg(F.count("*").alias("n")).select("uid", core.history_bucket(F.col("n")).alias("bucket"))
+    def buckets(self) -> DataFrame:
+        """(uid, bucket) of every user with positives, by the number of rows in the whole history."""
+        sized = self.users.join(self.history_sizes, "uid", "left")
+        return sized.select("uid", core.history_bucket(F.coalesce("n", F.lit(0))).alias("bucket"))
