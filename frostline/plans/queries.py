@@ -270,7 +270,7 @@ def hamming_histogram(s: Study) -> DataFrame:
 
 
 def clean(s: Study) -> tuple[DataFrame, DataFrame]:
-    pool = duplicates.clean_candidates(s.candidates, s.dev.train_items, s.short_hashes.join(s.candidates, "item", "left_semi"), s.short_hashes.join(s.dev.train_items, "item", "left_semi"))
+    pool = duplicates.clean_candidates(s.candidates, s.dev.train_items, *hash_sides(s))
     return pool, s.positives.join(pool, "item", "left_semi").select("uid", "item")
 
 

@@ -59,11 +59,6 @@ class Study:
     def hashes(self) -> DataFrame:
         return self.features.select("item", core.sign_bits(F.col("embedding")).alias("h"))
 
-    @cached_property
-    def short_hashes(self) -> DataFrame:
-        """The top 12 bits, so that some hashes collide."""
-        return self.features.select("item", core.sign_bits(F.col("embedding"), 12).alias("h"))
-
     @cached_property
     def counts(self) -> DataFrame:
         return text.term_counts(self.titles)
