@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import PROTOCOL
-from ..functions.core import dot, first_hash_byte
+from ..functions.core import dot, first_hash_byte, shuffle_key
 from . import dense, text
 from .quantiles import count_upto, indexed
 
-#: Places drawn for each user; those taken or repeated are skipped.
+#: Places drawn for each user; those taken or repeated are skipped, and users still short take the rest exactly.
 DRAWS = 64
+#: Places of a short user that are listed at once.
+SPAN = 4096
 
 
 def first_seen(train: DataFrame) -> DataFrame:
@@ -40,18 +42,46 @@ def availability(train: DataFrame, aims: DataFrame) -> DataFrame:
     return count_upto(first_seen(train), "first_ts", aims, "ts_ms")
 
 
+def owned(train: DataFrame) -> DataFrame:
+    return train.select("uid", F.col("item").alias("neg_item")).distinct()
+
+
+def eligibility(train: DataFrame, aims: DataFrame) -> DataFrame:
+    """(uid, available, eligible): available items, and those of them that aren't the user's own."""
+    # all of a user's items are available: their target is their last event
+    own = owned(train).groupBy("uid").agg(F.count("*").alias("own"))
+    return availability(train, aims).join(own, "uid").select("uid", "available", (F.col("available") - F.col("own")).alias("eligible"))
+
+
+def short_pools(train: DataFrame, aims: DataFrame, n: int = PROTOCOL.negatives) -> DataFrame:
+    """(uid, available, eligible) of users with fewer than n eligible items: they have only that many negatives."""
+    return eligibility(train, aims).where(F.col("eligible") < n)
+
+
 def negatives(train: DataFrame, aims: DataFrame, n: int = PROTOCOL.negatives, seed: int = PROTOCOL.seed) -> DataFrame:
-    """(uid, neg_item, draw): hashed places among the available items, without the user's own items and repeats."""
+    """(uid, neg_item, draw): hashed places among the available items, without the user's own items and repeats.
+
+    Users for whom DRAWS places give fewer than n take the rest from all their eligible items, by the least hashes of
+    seed, user and item; their draws count on from DRAWS. So users have n negatives, or all eligible items if fewer.
+    """
     places = indexed(first_seen(train), "first_ts", "item").select("position", F.col("item").alias("neg_item"))
-    known = availability(train, aims)
+    known = eligibility(train, aims)
     draws = known.select("uid", "available", F.explode(F.sequence(F.lit(0), F.lit(DRAWS - 1))).alias("draw"))
     hashed = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("uid").cast("string"), F.col("draw").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long")
     drawn = draws.withColumn("position", F.pmod(hashed, F.col("available"))).join(places, "position")
-    own = train.select("uid", F.col("item").alias("neg_item")).distinct()
+    own = owned(train)
     free = drawn.join(own, ["uid", "neg_item"], "left_anti").groupBy("uid", "neg_item").agg(F.min("draw").alias("draw"))
     order = Window.partitionBy("uid").orderBy("draw")
-    kept = free.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n)
-    return kept.select("uid", "neg_item", "draw")
+    kept = free.withColumn("k", F.row_number().over(order)).where(F.col("k") <= n).select("uid", "neg_item", "draw").persist()
+    # users own most of what is available to them, but for rare luck, so that their places are about as many as their rows
+    got = F.coalesce("got", F.lit(0))
+    short = known.join(kept.groupBy("uid").agg(F.count("*").alias("got")), "uid", "left").where(got < F.least("eligible", F.lit(n))).select("uid", "available", got.alias("got"))
+    spans = short.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("available") - 1, F.lit(SPAN).cast("long"))).alias("low"))
+    listed = spans.select("uid", "got", F.explode(F.sequence("low", F.least(F.col("low") + SPAN, F.col("available")) - 1)).alias("position"))
+    rest = listed.join(places, "position").join(own, ["uid", "neg_item"], "left_anti").join(kept.select("uid", "neg_item"), ["uid", "neg_item"], "left_anti")
+    least = Window.partitionBy("uid").orderBy(shuffle_key(seed, F.col("uid"), F.col("neg_item")), "neg_item")
+    more = rest.withColumn("k", F.row_number().over(least)).where((F.col("k") <= n) & (F.col("k") + F.col("got") <= n))
+    return kept.unionByName(more.select("uid", "neg_item", (F.col("k") + (DRAWS - 1)).cast("int").alias("draw")))
 
 
 def is_calibration(user):

@@ -367,6 +367,11 @@ def negative_samples(s: Study) -> DataFrame:
     return pairs.negatives(s.dev.train, pairs.targets(s.dev.train))
 
 
+@query
+def short_negative_pools(s: Study) -> DataFrame:
+    return pairs.short_pools(s.dev.train, pairs.targets(s.dev.train))
+
+
 def pair_rows(s: Study) -> DataFrame:
     return pairs.features(s.dev.train, s.vectors, s.features)
 
