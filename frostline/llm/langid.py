@@ -48,7 +48,7 @@ def features(word: str) -> list[int]:
     found = ["w" + word]
     for n in range(1, 4):
         found += ["p" + word[:n], "s" + word[-n:]]
-    found += ["g" + marked[i : i + 3] for i in range(len(marked) - 2)] if len(word) < 200 else []
+    found += ["g" + marked[i : i + 3] for i in range(len(marked) - 2)]
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for f in found]
 
 
