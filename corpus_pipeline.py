@@ -22,9 +22,16 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one of least id."""
-    gone = minhash.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """One row of each near-duplicate group stays: that of least id, null ids last, the first read among equal ids.
+
+    Rows are told apart by their place, so null and repeated ids are rows like others. docs must be read alike each
+    time, as files and checkpoints are.
+    """
+    placed = docs.withColumn("_place", F.monotonically_increasing_id())
+    found = minhash.near_duplicates(placed, id_col="_place").select(F.col("doc_id").alias("_place"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_place")
+    stay = placed.select("_place", "doc_id").join(found, "_place").groupBy("component_id").agg(F.min(order).alias("least")).select(F.col("least._place").alias("_place"))
+    return placed.join(stay, "_place", "left_semi").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
