@@ -102,14 +102,14 @@ def link(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vecto
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     fit = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & F.exists("v", lambda x: x != 0)
-    usable = rows.where(fit)
-    # equal vectors of a label: one representative with their number
+    # equal vectors of a label: one representative with their number, under a number of its own
     # (-0.0 + 0.0 is 0.0, so equal values have equal hashes)
     same = ["label", "h1", "h2"]
-    keyed = usable.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("h1", F.xxhash64("v")).withColumn("h2", F.xxhash64(F.lit(1), "v"))
-    groups = cut(keyed.groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
-    members = keyed.select("vec_id", *same).join(groups, same).select("vec_id", "rep", "n")
-    reps = keyed.select("vec_id", "label", "v").join(groups.select(F.col("rep").alias("vec_id"), "n"), "vec_id").dropDuplicates(["vec_id"])
+    hashed = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0))).withColumn("fit", F.coalesce(fit, F.lit(False)))
+    hashed = hashed.withColumn("h1", F.when(F.col("fit"), F.xxhash64("v"))).withColumn("h2", F.when(F.col("fit"), F.xxhash64(F.lit(1), "v")))
+    keyed = hashed.where("fit")
+    groups = cut(keyed.groupBy(*same).agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("rep", F.monotonically_increasing_id()))
+    reps = keyed.withColumnRenamed("vec_id", "least").join(groups, [*same, "least"]).dropDuplicates(["rep"]).select(F.col("rep").alias("vec_id"), "label", "v", "n")
     total = groups.count()
     books = _codebooks(reps, total, sample)
     reach = share**2 * (2 - 2 * least) + SLACK
@@ -185,9 +185,12 @@ def link(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vecto
     found = cut(pairs.mapInArrow(compare, FOUND))
     comps = components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("others"))
-    by_rep = members.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = by_rep.select("vec_id", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")).dropDuplicates(["vec_id"])
-    return rows.select("vec_id").join(linked, "vec_id", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    # only here representatives become ids again: a component is named by its least vec_id
+    placed = groups.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    linked = placed.join(named, "component").select(*same, (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    out = hashed.select("vec_id", *same).join(linked, same, "left")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def _codebooks(reps: DataFrame, total: int, sample: int) -> dict[int, tuple[Codebook, Codebook]]:
