@@ -15,7 +15,7 @@ ne AS (SELECT count(*) n FROM events),
 nv AS (SELECT least((SELECT count(*) FROM documents), (SELECT count(*) FROM embeddings)) n),
 placed AS (SELECT user_id uid, event_id, epoch_us(ts) // 1000 ts_ms, event_id * nv.n // ne.n base FROM events, ne, nv),
 inter AS (SELECT uid, CASE WHEN event_id % 3 = 0 THEN (event_id * 7919) % (base + 1) ELSE base END item, ts_ms, event_id FROM placed),
-titles AS (SELECT doc_id item, substr(text, 1, 120) title FROM documents WHERE doc_id IN (SELECT item FROM inter)),
+titles AS (SELECT doc_id item, text title FROM documents WHERE doc_id IN (SELECT item FROM inter)),
 ordered AS (SELECT ts_ms, row_number() OVER (ORDER BY ts_ms) - 1 rn, count(*) OVER () n FROM inter),
 cuts AS (SELECT max(ts_ms) FILTER (rn = CAST(round_even((n - 1) * 0.8, 0) AS BIGINT)) c1, max(ts_ms) FILTER (rn = CAST(round_even((n - 1) * 0.9, 0) AS BIGINT)) c2 FROM ordered),
 dev AS (SELECT inter.* FROM inter, cuts WHERE ts_ms < c1),
@@ -53,11 +53,11 @@ vrk AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, md5(c
 ks AS (SELECT unnest([5, 10, 20, 50]) k),
 gains AS (SELECT i, 1 / log2(i + 1) g FROM range(1, 51) r(i)),
 ideals AS (SELECT i n, sum(g) OVER (ORDER BY i) ideal FROM gains),
-thin AS (SELECT uid, CASE WHEN count(*) <= 3 THEN '1-3' WHEN count(*) <= 6 THEN '4-6' WHEN count(*) <= 10 THEN '7-10' ELSE '11+' END bucket FROM hist WHERE event_id % 16 < 1 + uid % 4 GROUP BY uid),
+buckets AS (SELECT uid, CASE WHEN count(*) <= 3 THEN '1-3' WHEN count(*) <= 6 THEN '4-6' WHEN count(*) <= 10 THEN '7-10' ELSE '11+' END bucket FROM hist GROUP BY uid),
 acts AS (SELECT 'user' entity, uid id, count(*) n FROM inter GROUP BY uid UNION ALL SELECT 'item', item, count(*) FROM inter GROUP BY item),
 acto AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY n, id) i, count(*) OVER (PARTITION BY entity) m, sum(n) OVER (PARTITION BY entity) t FROM acts),
 names AS (SELECT item, array_to_string(regexp_extract_all(lower(title), '[a-z0-9]+'), ' ') t, regexp_extract_all(lower(title), '[a-z0-9]+') toks FROM titles),
-bits AS (SELECT item, sum(CASE WHEN x > 0 THEN 1::HUGEINT << (63 - pos)::INT ELSE 0 END) h, sum(CASE WHEN x > 0 AND pos < 12 THEN 1 << (11 - pos)::INT ELSE 0 END) short FROM emb WHERE pos < 64 GROUP BY item)
+bits AS (SELECT item, sum(CASE WHEN x > 0 THEN 1::HUGEINT << (63 - pos)::INT ELSE 0 END) h FROM emb WHERE pos < 64 GROUP BY item)
 """
 
 
@@ -118,7 +118,10 @@ PAIRS = (
     "places AS (SELECT item, row_number() OVER (ORDER BY first_ts, item) - 1 place FROM firsts)",
     f"draws AS (SELECT uid, d draw, CAST('0x' || substr(md5(concat('{SEED}:', uid, ':', d)), 1, 8) AS BIGINT) % available place FROM avail CROSS JOIN range(0, 64) r(d))",
     "free AS (SELECT uid, p.item neg_item, min(draw) draw FROM draws JOIN places p USING (place) WHERE NOT EXISTS (SELECT 1 FROM dev o WHERE o.uid = draws.uid AND o.item = p.item) GROUP BY ALL)",
-    "negs AS (SELECT uid, neg_item, draw FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY draw) k FROM free) WHERE k <= 5)",
+    "drawn AS (SELECT uid, neg_item, draw FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY draw) k FROM free) WHERE k <= 5)",
+    "short AS (SELECT a.uid, a.ts_ms, (SELECT count(*) FROM drawn d WHERE d.uid = a.uid) got FROM (SELECT uid, any_value(ts_ms) ts_ms FROM loo GROUP BY uid) a)",
+    f"spare AS (SELECT s.uid, f.item neg_item, got, row_number() OVER (PARTITION BY s.uid ORDER BY md5(concat('{SEED}:', s.uid, ':', f.item)), f.item) k FROM (SELECT * FROM short WHERE got < 5) s JOIN firsts f ON f.first_ts <= s.ts_ms WHERE NOT EXISTS (SELECT 1 FROM dev o WHERE o.uid = s.uid AND o.item = f.item) AND NOT EXISTS (SELECT 1 FROM drawn d WHERE d.uid = s.uid AND d.neg_item = f.item))",
+    "negs AS (SELECT * FROM drawn UNION ALL SELECT uid, neg_item, k + 63 FROM spare WHERE k + got <= 5)",
     "past AS (SELECT s.uid, s.item FROM seqs s JOIN loo USING (uid) WHERE s.back > 1)",
     "psum AS (SELECT uid, term, sum(w) w FROM past JOIN vec USING (item) GROUP BY ALL)",
     "pprof AS (SELECT uid, term, w / sqrt(sum(w * w) OVER (PARTITION BY uid)) w FROM psum)",
@@ -231,12 +234,12 @@ SQL: dict[str, str] = {
     "random_metrics": with_(metrics_of("rnd"), f"rnd AS (SELECT uid, item, row_number() OVER (PARTITION BY uid ORDER BY md5(concat('{SEED}:', uid, ':', item)), item) rank FROM usr CROSS JOIN cand)"),
     "dense_scores_topk": with_("SELECT uid, item, round(score, 6) + 0e0 score, rank FROM vrk WHERE rank <= 50"),
     "visual_metrics": with_(metrics_of("vrk")),
-    "visual_metrics_by_bucket": with_(f"SELECT bucket, k, {MEANS} FROM ({users_of('vrk')}) JOIN thin USING (uid) GROUP BY ALL"),
+    "visual_metrics_by_bucket": with_(f"SELECT bucket, k, {MEANS} FROM ({users_of('vrk')}) JOIN buckets USING (uid) GROUP BY ALL"),
     "hamming_nearest": hashes("SELECT item, nearest_item, CAST(distance AS INT) distance FROM near"),
     "hamming_histogram": hashes("SELECT CAST(distance AS INT) distance, count(*) items FROM near GROUP BY distance"),
     "clean_pool_metrics": with_(
         f"SELECT 'text' model, * FROM ({metrics_of('ctrk', 'cpos')}) UNION ALL SELECT 'visual', * FROM ({metrics_of('cvrk', 'cpos')})",
-        "ccand AS (SELECT item FROM cand WHERE item NOT IN (SELECT item FROM bits WHERE short IN (SELECT short FROM bits WHERE item IN (SELECT item FROM trainitems))))",
+        "ccand AS (SELECT item FROM cand WHERE item NOT IN (SELECT item FROM bits WHERE h IN (SELECT h FROM bits WHERE item IN (SELECT item FROM trainitems))))",
         "cpos AS (SELECT * FROM pos WHERE item IN (SELECT item FROM ccand))",
         *[f"c{t}rk AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, md5(concat('{SEED}:', uid, ':', item)), item) rank FROM {t}sc WHERE item IN (SELECT item FROM ccand))" for t in "tv"],
     ),
@@ -269,13 +272,13 @@ SQL: dict[str, str] = {
         f"SELECT * FROM (SELECT count(*) positives, count(*) FILTER (similarity >= 0.5) near_50, count(*) FILTER (similarity >= 0.8) near_80 FROM sims) CROSS JOIN (SELECT count(*) kept_users, round(avg(recall), 6) recall, round(avg(ndcg), 6) ndcg, round(avg(hit), 6) hit_rate FROM ({users_of('trk', 'keptp', TEN)}))",
         SIMILAR, "keptp AS (SELECT uid, item FROM sims WHERE similarity < 0.8)",
     ),
-    "history_buckets": with_(f"SELECT bucket, {MEANS} FROM ({users_of('trk', 'pos', TEN)}) JOIN thin USING (uid) GROUP BY bucket"),
+    "history_buckets": with_(f"SELECT bucket, {MEANS} FROM ({users_of('trk', 'pos', TEN)}) JOIN buckets USING (uid) GROUP BY bucket"),
     "case_strong_hits": with_("SELECT uid, best_item, best_rank, round(best_score, 6) best_score FROM allcases WHERE best_rank <= 3 AND NOT exact ORDER BY allcases.best_score DESC, uid LIMIT 5", *CASES),
     "case_confident_misses": with_("SELECT uid, best_item, best_rank, top_item, round(top_score, 6) top_score FROM allcases WHERE best_rank > 10 AND allcases.top_score > 0 ORDER BY allcases.top_score DESC, uid LIMIT 5", *CASES),
     "exposure_summary": with_(exposure("text", "trk") + " UNION ALL " + exposure("visual", "vrk")),
     "demo_samples": with_(
         """SELECT bucket, outcome, p.uid, string_agg(t, '|' ORDER BY event_id) history_titles FROM picked p JOIN recent r ON r.uid = p.uid GROUP BY ALL""", HITS,
-        "cands AS (SELECT bucket, CASE WHEN t THEN 'hit' ELSE 'miss' END outcome, uid, sha256('sample:' || uid) h FROM hits JOIN thin USING (uid))",
+        "cands AS (SELECT bucket, CASE WHEN t THEN 'hit' ELSE 'miss' END outcome, uid, sha256('sample:' || uid) h FROM hits JOIN buckets USING (uid))",
         "picked AS (SELECT bucket, outcome, arg_min(uid, h) uid FROM cands GROUP BY ALL)",
         """recent AS (SELECT uid, event_id, CASE WHEN length(c) > 180 THEN concat(rtrim(substr(c, 1, 179)), '…') ELSE c END t FROM (SELECT hist.uid, event_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) c, row_number() OVER (PARTITION BY hist.uid ORDER BY event_id DESC) b
           FROM hist JOIN titles USING (item)) WHERE b <= 6)""",
