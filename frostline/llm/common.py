@@ -3,14 +3,61 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 from collections.abc import Callable, Iterator
+from itertools import islice
+from typing import ClassVar
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents handled at a time inside a Python worker; bounds memory, never drops rows.
-SLICE = 256
+#: Documents, and bytes of their texts, handled at a time inside a Python worker; bounds memory, never drops rows.
+SLICE, SLICE_BYTES = 256, 1 << 20
+#: Bytes that all memos of a worker hold together, about, before room is made.
+MEMO_BYTES = 160 << 20
+#: What a dict entry of two small objects takes besides their contents.
+ENTRY = 200
+
+
+class Memo(dict):
+    """A dict of what a worker has worked out, bounded by bytes.
+
+    Workers outlive a stage: when the worker's memos are full, those of other operators are emptied, and a full memo
+    keeps its oldest third, for what is frequent was met early.
+    """
+
+    all: ClassVar[weakref.WeakSet] = weakref.WeakSet()
+
+    def __init__(self, most: int = MEMO_BYTES):
+        self.most, self.held = most, 0
+        Memo.all.add(self)
+
+    __hash__ = object.__hash__
+
+    def make_room(self) -> int | None:
+        """How many of the oldest entries are left, where room had to be made."""
+        others = [m for m in Memo.all if m is not self]
+        if self.held + sum(m.held for m in others) <= self.most:
+            return None
+        for m in others:
+            m.clear()
+            m.held = 0
+        if self.held <= self.most:
+            return None
+        kept = dict(islice(self.items(), len(self) // 3))
+        self.clear()
+        self.update(kept)
+        self.held //= 3
+        return len(kept)
+
+    def learn(self, keys: list, values: list, each: int | None = None) -> None:
+        """each: bytes a value takes, by default its length."""
+        self.update(zip(keys, values, strict=True))
+        self.held += sum(map(len, keys)) + (sum(map(len, values)) if each is None else each * len(keys)) + ENTRY * len(keys)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +65,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoints(spark: SparkSession) -> None:
-    """Make reliable checkpoints possible: the folder the cluster names, else (tests) one of our own."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Make reliable checkpoints possible: the folder the cluster names, else (tests, on one machine) one of our own."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="frostline-checkpoint-"))
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="frostline-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -32,8 +82,6 @@ def cut(df: DataFrame) -> DataFrame:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared checkpoint folder."""
-    import uuid
-
     checkpoints(spark)
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
@@ -47,6 +95,18 @@ def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def slices(batch: pa.RecordBatch, column: int, rows: int = SLICE, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch of at most `rows` rows and `most` bytes in a column of texts; a longer text is a run of its own."""
+    n = batch.num_rows
+    sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False) if pa.types.is_string(batch.schema.field(column).type) else np.zeros(n, np.int64)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < n:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right"))
+        end = min(n, at + rows, max(at + 1, full))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def map_slices(df: DataFrame, fn: Callable[[list, list], dict], schema: str, size: int = SLICE) -> DataFrame:
     """Run fn(ids, texts) -> column lists over slices of (doc_id, text) rows, without a shuffle."""
     fields = df.sparkSession.createDataFrame([], schema).schema
@@ -54,8 +114,7 @@ def map_slices(df: DataFrame, fn: Callable[[list, list], dict], schema: str, siz
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
+            for part in slices(batch, 1, size):
                 out = fn(part.column(0).to_pylist(), part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
@@ -75,16 +134,36 @@ def quantile_bounds(df: DataFrame, key: str, buckets: int) -> list:
     return sorted(set(found or []))
 
 
+def marks_of(bounds: list) -> Column:
+    """Ascending whole numbers as one array literal, however many."""
+    return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+
+
 def bucket_of(key: str, bounds: list) -> Column:
-    """Index of the range that key falls in: how many bounds are at most key (null: 0)."""
+    """Index of the range that key falls in: how many bounds are at most key (null: 0), by binary search."""
     if not bounds:
         return F.lit(0)
-    tree = [(b, i + 1) for i, b in enumerate(bounds)]
+    marks, n = marks_of(bounds), len(bounds)
+    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
+    onward = lambda at, step: F.when((at + step <= n) & (F.get(marks, at + step - 1) <= F.col(key)), at + step).otherwise(at)
+    return F.aggregate(steps, F.lit(0), onward)
+
+
+#: A key that holds more than one in SHARE of a table's rows is hot, if it holds more than HOT_ROWS.
+SHARE, HOT_ROWS, MOST_SALTS = 1000, 1000, 64
+
+
+def hot_keys(counts: DataFrame, n: str, total: int, least: int = HOT_ROWS) -> DataFrame:
+    """counts' keys that are hot, with the salts to spread them over. Fewer than SHARE rows, whatever the table's size."""
+    share = max(least, -(-total // SHARE))
+    salts = F.least(F.lit(MOST_SALTS), F.ceil(F.col(n) / share)).cast("int")
+    return counts.where(F.col(n) > share).withColumn("_salts", salts).drop(n)
 
-    def pick(lo: int, hi: int) -> Column:  # a balanced tree of comparisons
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) >= F.lit(tree[mid][0]), pick(mid + 1, hi)).otherwise(pick(lo, mid))
 
-    return pick(0, len(tree))
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
+    """left joined with right on keys; left's rows of a hot key go to one of its salts by a hash of `by`, right's to all."""
+    few = F.broadcast(hot.select(*keys, "_salts"))  # fewer than SHARE rows
+    salts = F.coalesce("_salts", F.lit(1))
+    one = left.join(few, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
+    every = right.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return one.join(every, [*keys, "_salt"]).drop("_salt")

@@ -8,10 +8,13 @@ permutation is shifted by k places. Bands of the signature propose candidates; t
 No group is expanded into all its pairs: equal sets collapse into one class first; in a band's bucket every class is
 compared with the bucket's smallest one, its head. Where members of a head's buckets are then in different components,
 blocks of them are compared by matrix products, which yield connections, never lists of pairs; pairs of blocks that lie
-in one component are skipped, since they can't change the answer.
+in one component are skipped, since they can't change the answer. Classes, buckets and heads of many rows are joined by
+salts.
 
-Defined results: null or empty texts and texts without words have no shingles and link with nothing; fewer words than
-a shingle form one shingle; repeated rows of one id count as one document; other columns are ignored.
+Rows are told apart by their place, so documents must be read alike each time, as files and checkpoints are. Defined
+results: null or empty texts and texts without words have no shingles and link with nothing; fewer words than a shingle
+form one shingle; repeated rows of one id are documents of their own; a component is named by the least of its ids that
+isn't null, and `kept` says whether the row's id is that name (nulls are equal here); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, cut, map_slices, shuffle_partitions, texts_of
+from .common import arrow_schema, cut, hot_keys, map_slices, shuffle_partitions, spread_join, texts_of
 from .components import components
-from .hashing import SpanHasher, scramble
+from .hashing import scramble, span_hashes
 
 SPAN = 1 << 20
 ROWS, BANDS = 5, 25
@@ -48,11 +51,6 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return place, np.lib.stride_tricks.sliding_window_view(np.concatenate([value, value[: WIDTH - 1]]), WIDTH)
 
 
-@functools.lru_cache(1)
-def _hasher() -> SpanHasher:
-    return SpanHasher()
-
-
 def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -60,7 +58,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     solid = ~BLANK[tape]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).astype(np.int8)))
     starts, lens = edge[::2], edge[1::2] - edge[::2]
-    h = scramble(_hasher()(tape, starts, lens))
+    h = span_hashes(tape, starts, lens)
     bounds = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
     out, lo = [], 0
     with np.errstate(over="ignore"):
@@ -95,28 +93,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands): the set's size, its 128-bit digest and its bands."""
+    """(row, n_shingles, h1, h2, bands) of (row, text): the set's size, its 128-bit digest and its bands."""
 
-    def run(ids, texts):
+    def run(rows, texts):
         sets = shingle_sets(texts, words)
         digest = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets]
-        return {"doc_id": ids, "n_shingles": list(map(len, sets)), "h1": [int(d[0]) for d in digest], "h2": [int(d[1]) for d in digest], "bands": [band_keys(signature(s)) if len(s) else [] for s in sets]}
+        return {"row": rows, "n_shingles": list(map(len, sets)), "h1": [int(d[0]) for d in digest], "h2": [int(d[1]) for d in digest], "bands": [band_keys(signature(s)) if len(s) else [] for s in sets]}
 
-    return map_slices(docs, run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return map_slices(docs, run, "row long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(doc_id, set): the sorted shingle hashes of the documents named."""
+def sets_of(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, set): the sorted shingle hashes of the rows named."""
 
     def sets(keys, texts):
-        return {"doc_id": keys, "set": [s.tobytes() for s in shingle_sets(texts, words)]}
+        return {"node": keys, "set": [s.tobytes() for s in shingle_sets(texts, words)]}
 
-    return map_slices(docs.join(ids, "doc_id", "left_semi"), sets, "doc_id long, set binary").dropDuplicates(["doc_id"])
+    return map_slices(docs.join(rows, "row", "left_semi"), sets, "node long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. `hot` has the a of many pairs."""
+    joined = spread_join(pairs.join(sets.toDF("b", "right"), "b"), sets.toDF("a", "left"), ["a"], hot, "b")
 
     def judge(batches):
         for batch in batches:
@@ -187,11 +185,13 @@ def across(members: DataFrame, percent: int) -> DataFrame:
         if held:
             yield block()
 
-    salted = members.select("head", F.pmod("component", F.lit(SALTS)).alias("salt"), "b", "component", "set")
+    salted = members.select("head", F.pmod(F.xxhash64("b"), F.lit(SALTS)).alias("salt"), "b", "component", "set")
     blocks = cut(salted.repartition(parts, "head", "salt").sortWithinPartitions("head", "salt", "component", "b").mapInArrow(gather, BLOCKS))
-    left = blocks.select(*[F.col(c).alias(c if c == "head" else f"{c}_l") for c in blocks.columns])
+    # a block meets those of its group in SALTS tasks: one side keeps its salt, the other goes to all
+    spread = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    left = blocks.select(*[F.col(c).alias(c if c == "head" else f"{c}_l") for c in blocks.columns]).withColumn("salt", F.pmod(F.xxhash64("block_l"), F.lit(SALTS)).cast("int"))
     apart = (F.col("component_low") != F.col("component_high")) | (F.col("component_low_l") != F.col("component_high_l")) | (F.col("component_low") != F.col("component_low_l"))
-    pairs = left.join(blocks, "head").where((F.col("block_l") <= F.col("block")) & apart)
+    pairs = left.join(spread, ["head", "salt"]).drop("salt").where((F.col("block_l") <= F.col("block")) & apart)
 
     def compare(batches):
         target = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -217,29 +217,36 @@ def across(members: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): the smallest id reachable over links of Jaccard >= percent / 100."""
-    docs = texts_of(documents, id_col, text_col)
-    prints = cut(fingerprints(docs, words))
+    docs = texts_of(documents, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    prints = cut(fingerprints(docs.select("row", "text"), words))
     some = prints.where("n_shingles > 0")
-    reps = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    members = some.select("doc_id", "h1", "h2").join(reps, ["h1", "h2"]).select("doc_id", "rep")
-    own = some.join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    entries = own.select(F.col("doc_id").alias("b"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("head")).where("n > 1").select("band", "head")
-    groups = cut(entries.join(shared, "band").select("head", "b").distinct())
+    total = some.count()
+    # a class of equal sets is named by its least row
+    classes = cut(some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    entries = classes.select(F.col("node").alias("b"), F.explode("bands").alias("band"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("head")).where("n > 1")
+    groups = cut(spread_join(entries, shared.drop("n"), ["band"], hot_keys(shared.select("band", "n"), "n", BANDS * total), "b").select("head", "b").distinct())
     stars = groups.where("head != b").select(F.col("head").alias("a"), "b")
-    sets = cut(sets_of(docs, groups.select(F.col("b").alias("doc_id")).distinct(), words))
-    links = cut(verified(stars, sets, percent))
+    hot = hot_keys(stars.groupBy("a").agg(F.count("*").alias("n")), "n", stars.count())
+    sets = cut(sets_of(docs.select("row", "text"), groups.select(F.col("b").alias("row")).distinct(), words))
+    links = cut(verified(stars, sets, percent, hot))
     found = components(links)
     # two classes that share a bucket share its head; groups of a head whose members are still apart are compared inside
     placed = cut(groups.join(found.withColumnRenamed("id", "b"), "b", "left").select("head", "b", F.coalesce("component", "b").alias("component")))
     apart = placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("head")
-    rest = placed.join(apart, "head").join(sets.withColumnRenamed("doc_id", "b"), "b").select("head", "b", "component", "set")
+    hot = hot.withColumnRenamed("a", "head")
+    rest = spread_join(placed, apart, ["head"], hot, "b").join(sets.withColumnRenamed("node", "b"), "b").select("head", "b", "component", "set")
     more = cut(across(rest, percent))
     if not more.isEmpty():
         found = components(links.union(more))
-    classes = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
-    sizes = prints.select("doc_id", "n_shingles")
-    return sizes.join(classes.dropDuplicates(["doc_id"]), "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
+    hot = hot_keys(named.select("h1", "h2", "n"), "n", total)
+    parted = spread_join(some.select("row", "h1", "h2"), named.drop("n"), ["h1", "h2"], hot, "row").select("row", "component")
+    ids = docs.select("row", "doc_id").join(prints.select("row", "n_shingles"), "row").join(parted, "row", "left")
+    ids = cut(ids.withColumn("component", F.coalesce("component", "row")))
+    least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    out = spread_join(ids, least.drop("n"), ["component"], hot_keys(least.select("component", "n"), "n", total), "row")
+    return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def report(documents: DataFrame) -> DataFrame:
