@@ -13,17 +13,16 @@ import contextlib
 import functools
 import hashlib
 import heapq
-import re
 from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .coding import SegmentCoder
 from .common import map_slices, texts_of
+from .hashing import spans
 
 LONG = 512
-#: Entries of a worker's memo of encoded segments before it is emptied.
-MEMO = 500_000
 NONE = np.int32(2**31 - 1)
 
 
@@ -75,25 +74,19 @@ def merge_rows(flat: np.ndarray, lens: np.ndarray, pairs: PairTable, long: int =
         if n < 2 or n > long:
             end = int(np.searchsorted(sizes, 1, "right")) if n < 2 else at + 1
             i = order[at]
-            part = flat[_spans(starts[order[at:end]], sizes[at:end])] if n < 2 else merge_heap(flat[starts[i] : starts[i] + n], pairs)
+            part = flat[spans(starts[order[at:end]], sizes[at:end])] if n < 2 else merge_heap(flat[starts[i] : starts[i] + n], pairs)
             done_lens[order[at:end]] = sizes[at:end] if n < 2 else len(part)
         else:
             widest = min(long, n + n // 4)
             end = min(int(np.searchsorted(sizes, widest, "right")), at + max(1, 2_000_000 // widest))
-            part, done_lens[order[at:end]] = _merge_bucket(flat[_spans(starts[order[at:end]], sizes[at:end])], sizes[at:end], pairs)
+            part, done_lens[order[at:end]] = _merge_bucket(flat[spans(starts[order[at:end]], sizes[at:end])], sizes[at:end], pairs)
         done.append(part.astype(np.int32))
         at = end
     together = np.concatenate(done) if done else np.zeros(0, np.int32)
     by_order = done_lens[order]
     back = np.zeros(len(lens), np.int64)
     back[order] = np.cumsum(by_order) - by_order
-    return together[_spans(back, done_lens)], done_lens
-
-
-def _spans(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """The indices start .. start + len - 1 of every span, one after another."""
-    ends = np.cumsum(lens)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lens), lens)
+    return together[spans(back, done_lens)], done_lens
 
 
 def _merge_bucket(flat: np.ndarray, size: np.ndarray, pairs: PairTable) -> tuple[np.ndarray, np.ndarray]:
@@ -165,16 +158,6 @@ def merge_heap(row: np.ndarray, pairs: PairTable) -> np.ndarray:
     return np.array([x for x, d in zip(ids, dead, strict=True) if not d], np.int32)
 
 
-#: A space before anything that no engine takes for white space: a token always begins there.
-SAFE = re.compile(r" (?=\S)")
-UNSAFE = re.compile(r" (?:\s|$)")
-
-
-def segments(text: str) -> list[str]:
-    """Cuts text at spaces where any tokenization has a boundary; all but the first segment lost one leading space."""
-    return SAFE.split(text) if UNSAFE.search(text) else text.split(" ")
-
-
 class RankBPE:
     """A rank file's vocabulary: encodes segments, decodes ids."""
 
@@ -200,10 +183,10 @@ class RankBPE:
                 if a is not None and b is not None:
                     left.append(a), right.append(b), rank.append(r)
         self.pairs = PairTable(left, right, np.array(rank, np.int32), np.array(rank, np.int32))
-        self.memo: dict[str, bytes] = {}
+        self.coder = SegmentCoder(self._learn, "<u4")
 
-    def _learn(self, before: str, new: list[str]) -> dict[str, bytes]:
-        """Little-endian 32-bit ids of before + segment, for every segment."""
+    def _learn(self, before: str, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of before + segment, for every segment, and how many."""
         pieces = [[before + s] if s.isascii() and s.isalpha() else self.pattern.findall(before + s) for s in new]
         rest = [p for p in {*chain.from_iterable(pieces)} if p not in self.known]
         raw = [p.encode("utf-8", "surrogatepass") for p in rest]
@@ -212,17 +195,12 @@ class RankBPE:
         data, ends = flat.astype("<u4").tobytes(), (np.cumsum(lens) * 4).tolist()
         whole = dict(zip(rest, [data[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
         find = lambda p: whole[p] if p in whole else self.known[p]
-        return {s: find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for s, ps in zip(new, pieces, strict=True)}
+        found = [find(ps[0]) if len(ps) == 1 else b"".join(map(find, ps)) for ps in pieces]
+        return np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each whole text. The memo has a segment under its text without the space before it."""
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        cut = list(map(segments, texts))
-        heads = [s.pop(0) for s in cut]
-        self.memo.update(self._learn(" ", [*set().union(*cut).difference(self.memo)]))
-        first, get = self._learn("", [*set(heads)]), self.memo.__getitem__
-        return [first[h] + b"".join(map(get, s)) for h, s in zip(heads, cut, strict=True)]
+        """Little-endian ids of each whole text."""
+        return self.coder.encode_each(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, quantile_bounds, shuffle_partitions, texts_of
+from .common import bucket_of, marks_of, quantile_bounds, shuffle_partitions, texts_of
 
 WIDTH = 32
 EMPTY = "ffffffff"
@@ -91,16 +91,15 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     bounds = quantile_bounds(texts, "doc_id", 4 * parts)
     # a document that opens a range also closes the range before; the first document of all closes the last one
     first = texts.agg(F.min("doc_id")).head()[0]
-    opens = [(b, i) for i, b in enumerate(bounds)]
-    own = bucket_of("doc_id", bounds)
-    is_open = F.col("doc_id").isin([b for b, _ in opens]) if opens else F.lit(False)
+    texts = texts.withColumn("own", bucket_of("doc_id", bounds))
+    is_open = (F.col("own") > 0) & (F.get(marks_of(bounds), F.col("own") - 1) == F.col("doc_id")) if bounds else F.lit(False)
     last = len(bounds)
     copies = F.array_compact(F.array(
-        F.struct(own.alias("bucket"), F.lit(0).alias("guest")),
-        F.when(is_open, F.struct((own - 1).alias("bucket"), F.lit(1).alias("guest"))),
+        F.struct(F.col("own").alias("bucket"), F.lit(0).alias("guest")),
+        F.when(is_open, F.struct((F.col("own") - 1).alias("bucket"), F.lit(1).alias("guest"))),
         F.when(F.col("doc_id") == F.lit(first), F.struct(F.lit(last).alias("bucket"), F.lit(2).alias("guest"))) if first is not None else F.lit(None),
     ))
-    dealt = texts.select("*", F.inline(copies)).repartition(parts, "bucket")
+    dealt = texts.select("doc_id", "text", F.inline(copies)).repartition(parts, "bucket")
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
     pairs = dealt.withColumn("following", F.lead("text").over(order)).withColumn("row", F.row_number().over(order))
     cut = F.floor(F.length("text") / 4).cast("int")

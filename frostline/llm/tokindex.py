@@ -1,12 +1,14 @@
 """Operator 4: token-id shards with a minimal perfect hash index.
 
 A shard holds the raw ids of consecutive documents (16 or 32 bits each) and an index: a minimal perfect hash from
-document key to slot, and per slot a fingerprint of the key, the offset and the length. A lookup evaluates one hash,
-checks one fingerprint and slices the payload, so its time depends on neither shard nor corpus. Shards are rows of
-Parquet files below the shared folder: Spark commits them, so a lost executor leaves no half-written shard.
+document key to slot, and per slot a fingerprint of the key, its place, the offset and the length. A lookup in a shard
+evaluates one hash, checks one fingerprint and the key itself and slices the payload, so its time doesn't depend on
+the shard. Shards are rows of Parquet files below the shared folder: Spark commits them, so a lost executor leaves no
+half-written shard. Every shard row has its least and greatest key, so that lookup() over all files opens only the
+shards whose statistics admit the key: those of one row group, as documents lie in key order.
 
 Defined results: a null or empty text is just the end id; documents of one id are told apart by their ordinal; a null
-id sorts first and has the key NULL_KEY; other columns are ignored; an empty table gives no shards.
+id sorts first and has the key NULL_KEY (a row of that very id counts as one more of its ordinals); other columns are ignored; an empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -14,26 +16,29 @@ from __future__ import annotations
 import functools
 import os
 import zlib
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import segments
-from .common import arrow_schema, bucket_of, quantile_bounds, shared_path, shuffle_partitions, texts_of
+from .coding import SegmentCoder
+from .common import arrow_schema, bucket_of, quantile_bounds, shared_path, shuffle_partitions, slices, texts_of
+from .hashing import spans
 
 END_ID = 0
 #: Ids in a shard before the next one begins; a longer document has a shard of its own.
 SHARD_IDS = 250_000
-MEMO = 600_000
+#: Segments that the library encodes in one run.
+RUN = 64
 NULL_KEY = -(2**63)
 #: Salts from here on belong to the displacements.
 TRIES = 16
-SHARDS = "bucket int, seq int, before long, n_docs long, n_tokens long, width int, keys binary, nulls binary, ordinals binary, seeds binary, slots binary, payload binary"
-SLOT = np.dtype([("mark", "<u4"), ("offset", "<u8"), ("length", "<u8")])
-
+SHARDS = "bucket int, seq int, low long, high long, before long, n_docs long, n_tokens long, width int, keys binary, nulls binary, ordinals binary, seeds binary, slots binary, payload binary"
+SLOT = np.dtype([("mark", "<u4"), ("place", "<u4"), ("offset", "<u8"), ("length", "<u8")])
+# Fixed value: the letter that stands for a space in byte-level vocabularies.
+SPACE = "Ġ"
 
 GOLD = 0x9E3779B97F4A7C15
 
@@ -108,12 +113,14 @@ class Shard:
         self.seeds, self.slots, self.payload = np.frombuffer(row["seeds"], "<i8"), np.frombuffer(row["slots"], SLOT), row["payload"]
 
     def find(self, keys: np.ndarray, ordinals: np.ndarray) -> np.ndarray:
-        """Slot of each key, or -1 where the fingerprint says that the shard has no such key."""
+        """Slot of each key, or -1 where the fingerprint, or the key at the slot's place, says that the shard hasn't got it."""
         if not self.n:
             return np.full(len(keys), -1)
         h = key_hashes(keys, ordinals)
         slot = slots_of(h, self.seeds, self.n)
-        return np.where(self.slots["mark"][slot] == marks_of(h), slot, -1)
+        place = self.slots["place"][slot].astype(np.int64)
+        there = (self.slots["mark"][slot] == marks_of(h)) & (self.keys[place] == keys) & (self.ordinals[place] == ordinals)
+        return np.where(there, slot, -1)
 
     def ids(self, slot: int) -> np.ndarray:
         at = int(self.slots["offset"][slot]) * self.width
@@ -133,41 +140,65 @@ def pack(docs: list[tuple], width: int) -> dict:
     seeds = build_hash(h)
     slots = np.zeros(len(docs), SLOT)
     at = slots_of(h, seeds, len(docs))
-    slots["mark"][at], slots["offset"][at], slots["length"][at] = marks_of(h), np.cumsum(lens) - lens, lens
+    slots["mark"][at], slots["place"][at], slots["offset"][at], slots["length"][at] = marks_of(h), np.arange(len(docs)), np.cumsum(lens) - lens, lens
     return {
+        "low": int(keys.min()), "high": int(keys.max()),
         "n_docs": len(docs), "n_tokens": int(lens.sum()), "width": width, "keys": keys.tobytes(), "nulls": np.array([k is None for k, _, _ in docs]).tobytes(),
         "ordinals": ordinals.tobytes(), "seeds": seeds.astype("<i8").tobytes(), "slots": slots.tobytes(), "payload": b"".join(p for _, _, p in docs),
     }
 
 
 class LibraryEncoder:
-    """The tokenizers library over whole texts, with a memo of segments between safe boundaries."""
+    """The tokenizers library over whole texts, with a memo of segments between safe boundaries.
+
+    A byte-level token that begins with a space stands for a space of the text. Segments without spaces inside are
+    therefore encoded many to a run, and each such token opens the next segment.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 2**16 else 4
+        vocab = self.library.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocab.values()) < 2**16 else "<u4")
+        self.width = self.kind.itemsize
+        self.opens = np.zeros(max(vocab.values()) + 1, bool)
+        self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
-
-    def _raw(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        self.coder = SegmentCoder(self._learn, self.kind)
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), self.kind), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _runs(self, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of each segment with a space before it; none is empty or has a space inside."""
+        ids, _ = self._whole([" " + " ".join(segs[i : i + RUN]) for i in range(0, len(segs), RUN)])
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(segs):
+            raise ValueError("the vocabulary has tokens with spaces inside")
+        return ids, np.diff(np.append(at, len(ids)))
+
+    def _learn(self, before: str, segs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        odd = [i for i, s in enumerate(segs) if not s or " " in s] if before else range(len(segs))
+        if not before or odd:
+            ids, n = np.zeros(0, self.kind), np.zeros(len(segs), np.int64)
+            plain = sorted(set(range(len(segs))).difference(odd))
+            parts = [self._runs([segs[i] for i in plain]), self._whole([before + segs[i] for i in odd])]
+            order = np.array([*plain, *odd], np.int64)
+            n[order] = sizes = np.concatenate([p[1] for p in parts])
+            ids = np.concatenate([p[0] for p in parts])
+            back = np.empty(len(segs), np.int64)
+            back[order] = np.cumsum(sizes) - sizes
+            return ids[spans(back, n)], n
+        return self._runs(segs)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO:
-            self.memo.clear()
         whole = [i for i, t in enumerate(texts) if any(s in t for s in self.special)]  # their tokens may join spaces
-        cut = [[""] if i in whole else segments(t) for i, t in enumerate(texts)] if whole else list(map(segments, texts))
-        heads = [s.pop(0) for s in cut]
-        new = [*set().union(*cut).difference(self.memo)]
-        self.memo.update(zip(new, self._raw([" " + s for s in new]), strict=True))
-        first = [*set(heads)]
-        start, get = dict(zip(first, self._raw(first), strict=True)), self.memo.__getitem__
-        out = [start[h] + b"".join(map(get, s)) for h, s in zip(heads, cut, strict=True)]
-        for i, ids in zip(whole, self._raw([texts[i] for i in whole]), strict=True):
-            out[i] = ids
+        out = self.coder.encode_each(["" if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        for i in whole:
+            out[i] = self._whole([texts[i]])[0].tobytes()
         return out
 
 
@@ -189,25 +220,25 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     def run(batches):
         enc = encoder(tokenizer)
         end = np.array([END_ID], f"<u{enc.width}").tobytes()
-        bucket, seq, before, held, ids, seen, last = None, 0, 0, [], 0, Counter(), None
+        bucket, seq, before, held, ids, last, repeats = None, 0, 0, [], 0, None, 0
 
         def shard():
             row = pack(held, enc.width) | {"bucket": bucket, "seq": seq, "before": before}
             return pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in schema], schema=schema)
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for part in slices(batch, 1, 512):
                 for key, b, payload in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
                     if held and (b != bucket or ids >= shard_ids):
                         yield shard()
                         seq, before = (seq + 1, before + ids) if b == bucket else (0, 0)
                         held, ids = [], 0
-                    if key != last:
-                        seen.clear()
-                    bucket, last = b, key
-                    held.append((key, seen[key], payload + end))
-                    seen[key] += 1
+                    named = NULL_KEY if key is None else key
+                    if named != last:
+                        last, repeats = named, 0
+                    bucket = b
+                    held.append((key, repeats, payload + end))
+                    repeats += 1
                     ids += len(payload) // enc.width + 1
         if held:
             yield shard()
@@ -227,6 +258,16 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return shards.withColumn("start", start)
 
 
+def lookup(spark: SparkSession, path: str, key: int | None, ordinal: int = 0) -> np.ndarray | None:
+    """The ids of one document of the whole output, or None: statistics leave the shards that may have the key."""
+    at = NULL_KEY if key is None else key
+    for row in spark.read.schema(SHARDS).parquet(path).where((F.col("low") <= at) & (F.col("high") >= at)).toLocalIterator():
+        found = Shard(row.asDict()).get(key, ordinal)
+        if found is not None:
+            return found
+    return None
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) by a keyed lookup of every key that the shards name."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
