@@ -5,34 +5,35 @@ letter trigrams, hashed into FEATURES weights a label; transitions between neigh
 text is labelled word by word. Forward-backward gives each word's posterior; a document's language is the label of
 greatest expected share, its score that share.
 
-Training takes at most `bound` labelled documents (a documented parameter) below a threshold of a hash of text and
-label, equal texts once, and cuts the beginnings of them into stretches of words; some stretches are glued from two documents so that switches occur. Prediction
-covers whole texts. Defined results: a null text or one without letters is `und` with score 0; without labelled rows
-every text is `und`; words without letters carry no features and take their label from their neighbours; repeated rows
-give repeated results; other columns are ignored.
+Training takes at most `bound` labelled documents (a documented parameter) by least hash of text and label, equal texts
+once, and cuts their whole texts into stretches of words; some stretches are glued from two documents so that switches
+occur. Prediction covers whole texts. A word is a run of letters (Unicode category L); numbers, marks and the like are
+not part of the chain. Defined results: a null text or one without letters is `und` with score 0; without labelled rows
+every text is `und`; of labels of equal share the first in alphabetical order is taken; repeated rows, also of one id,
+give repeated results; a null id isn't held out; other columns are ignored, accept() keeps them.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 import zlib
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices, texts_of
+from .common import Memo, map_slices, slices, texts_of
 
 FEATURES = 1 << 16
 #: Labelled documents that a model is fitted on, at most.
-BOUND = 2000
+BOUND = 1000
 STRETCH = 40
-MEMO = 300_000
+#: Words of a piece of a chain; all pieces run in step.
+PIECE = 48
 UND = "und"
-WORD = re.compile(r"[^\W\d_]+")
-HAS_LETTER = re.compile(r"[^\W\d_]")
+RUN = re.compile(r"[^\W\d_]+")
 
 
 class Model(NamedTuple):
@@ -52,6 +53,16 @@ def features(word: str) -> list[int]:
     return [zlib.crc32(f.encode("utf-8", "surrogatepass")) & (FEATURES - 1) for f in found]
 
 
+def words_of(texts: list[str]) -> list[list[str]]:
+    """The runs of letters of each lower-cased text. Numbers such as ½, ² and Ⅷ match the pattern but are no letters."""
+    words = [RUN.findall(t.lower()) for t in texts]
+    odd = {w for w in set().union(*words) if not w.isalpha()}
+    if odd:
+        letters = lambda w: "".join(c if c.isalpha() else " " for c in w).split()
+        words = [[x for w in ws for x in (letters(w) if w in odd else (w,))] for ws in words]
+    return words
+
+
 def forward_backward(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray, first: np.ndarray, want_moves: bool = False):
     """Posteriors [row, step, label] of padded rows of log potentials; with want_moves also the expected transitions."""
     n, steps, k = scores.shape
@@ -79,16 +90,63 @@ def forward_backward(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray, fi
     return (post, pairs) if want_moves else post
 
 
+def chain_posteriors(scores: np.ndarray, lens: np.ndarray, moves: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Posteriors [word, label] of whole chains that lie one after another in scores.
+
+    Chains are cut into pieces of PIECE words. All pieces run in step from every label at once, which gives each piece's
+    matrix; the matrices of a chain, multiplied up from both ends, give the pieces' entries for the true runs.
+    """
+    k, trans, start = scores.shape[1], np.exp(moves), np.exp(first)
+    pieces = -(-lens // PIECE)
+    ends = np.cumsum(pieces)
+    owner = np.repeat(np.arange(len(lens)), pieces)
+    nth = np.arange(len(owner)) - np.repeat(ends - pieces, pieces)
+    size = np.minimum(PIECE, lens[owner] - nth * PIECE)
+    inside = np.arange(PIECE) < size[:, None]
+    local = np.ones((len(owner), PIECE, k))
+    local[inside] = np.exp(scores - scores.max(1, keepdims=True))
+    local = np.ascontiguousarray(local.transpose(1, 0, 2))  # a row a step
+    opens = nth == 0  # whatever came before, a chain begins with the labels' own weights
+    unit = lambda x: x / x.sum(-1, keepdims=True)
+    # matrices of the pieces
+    matrix = np.broadcast_to(np.eye(k), (len(owner), k, k)).copy()
+    for t in range(PIECE):
+        own = slice(None) if t == 0 else np.flatnonzero(inside[:, t])
+        onward = matrix[own] @ trans
+        if t == 0:
+            onward[opens] = start
+        onward *= local[t][own][:, None]
+        matrix[own] = onward / onward.sum((1, 2), keepdims=True)
+    # entries from both ends
+    ahead, back = np.full((len(owner), k), 1.0 / k), np.ones((len(owner), k))
+    for j in range(1, int(pieces.max(initial=0))):
+        own = np.flatnonzero(nth == j) if j < 8 else (ends - pieces)[pieces > j] + j
+        ahead[own] = unit(np.einsum("na,nab->nb", ahead[own - 1], matrix[own - 1]))
+        own = (ends - 1 - j)[pieces > j]
+        back[own] = unit(np.einsum("nab,nb->na", matrix[own + 1], back[own + 1]))
+    # the true runs
+    post = np.empty((PIECE, len(owner), k))
+    for t in range(PIECE):
+        onward = ahead @ trans
+        if t == 0:
+            onward[opens] = start
+        ahead = np.where(inside[:, t, None], unit(onward * local[t]), ahead)
+        post[t] = ahead
+    for t in range(PIECE - 1, -1, -1):
+        post[t] = unit(post[t] * back)
+        back = np.where(inside[:, t, None], unit((local[t] * back) @ trans.T), back)
+    return post.transpose(1, 0, 2)[inside]
+
+
 def fit(texts: list[str], langs: list[str], rounds: int = 3, rate: float = 0.1, seed: int = 7) -> Model:
     """Maximises the conditional likelihood by AdaGrad over batches of stretches."""
     labels = tuple(sorted(set(langs)))
     k, rng = len(labels), np.random.default_rng(seed)
     known: dict[str, np.ndarray] = {}
     stretches = []
-    for text, lang in zip(texts, langs, strict=True):
-        words = WORD.findall(text.lower())
+    for words, lang in zip(words_of(texts), langs, strict=True):
         y = labels.index(lang)
-        for lo in range(0, min(len(words), 5 * STRETCH), STRETCH):
+        for lo in range(0, len(words), STRETCH):
             stretches.append((words[lo : lo + STRETCH], [y] * len(words[lo : lo + STRETCH])))
     stretches = [stretches[i] for i in rng.permutation(len(stretches))]
     for i in range(0, len(stretches) - 1, 5):  # a fifth: switch from one document to another within the stretch
@@ -135,55 +193,44 @@ def fit(texts: list[str], langs: list[str], rounds: int = 3, rate: float = 0.1,
 
 class Labeller:
     def __init__(self, model: Model):
-        self.model, self.memo = model, {}
+        self.model, self.memo = model, Memo()
+        self.table = np.zeros((0, len(model.labels)), np.float32)
 
     def _emissions(self, words: list[str]) -> None:
-        """Log potentials of new words, all at once."""
-        lists = list(map(features, words))
-        sizes = np.array(list(map(len, lists)))
-        rows = np.add.reduceat(self.model.weights[np.concatenate(lists)], np.cumsum(sizes) - sizes, axis=0)
+        """Log potentials of new words, many at once."""
+        rows = [self.table]
+        for lo in range(0, len(words), 20_000):
+            lists = list(map(features, words[lo : lo + 20_000]))
+            sizes = np.array(list(map(len, lists)))
+            rows.append(np.add.reduceat(self.model.weights[np.fromiter(chain.from_iterable(lists), np.int64)], np.cumsum(sizes) - sizes, axis=0))
         at = len(self.table)
-        self.table = np.concatenate([self.table, rows])
-        self.memo.update(zip(words, range(at, at + len(words)), strict=True))
-
-    def posteriors(self, texts: list[str]) -> list[np.ndarray]:
-        """Per text the posteriors of its words, [word, label]."""
-        k = len(self.model.labels)
-        if len(self.memo) > MEMO or not self.memo:
-            self.memo, self.table = {}, np.zeros((0, k), np.float32)
-        words = [WORD.findall(t.lower()) for t in texts]
+        self.table = np.concatenate(rows)
+        self.memo.learn(words, range(at, at + len(words)), 32 + 4 * self.table.shape[1])
+
+    def posteriors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The posteriors of all texts' words, [word, label], and how many words each has."""
+        self.memo.make_room()
+        self.table = self.table[: len(self.memo)]
+        words = words_of(texts)
         new = [*set().union(*words).difference(self.memo)]
         if new:
             self._emissions(new)
-        get = self.memo.__getitem__
-        rows = [np.fromiter(map(get, w), np.int64, len(w)) for w in words]
-        out: list = [np.zeros((0, k))] * len(texts)
-        order = sorted((i for i, r in enumerate(rows) if len(r)), key=lambda i: len(rows[i]))
-        at = 0
-        while at < len(order):  # rows of like length together, at most a quarter of a million words
-            short, end = len(rows[order[at]]), at
-            while end < len(order) and len(rows[order[end]]) <= short * 1.5 + 16 and (end - at + 1) * len(rows[order[end]]) <= max(250_000, short):
-                end += 1
-            end = max(end, at + 1)
-            part = order[at:end]
-            lens = np.array([len(rows[i]) for i in part])
-            scores = np.zeros((len(part), lens.max(), k))
-            scores[np.arange(lens.max()) < lens[:, None]] = self.table[np.concatenate([rows[i] for i in part])]
-            post = forward_backward(scores, lens, self.model.moves, self.model.first)
-            for j, i in enumerate(part):
-                out[i] = post[j, : lens[j]]
-            at = end
-        return out
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        rows = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(words)), np.int64, int(lens.sum()))
+        return chain_posteriors(self.table[rows].astype(np.float64), lens, self.model.moves, self.model.first), lens
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        found = []
-        for text, post in zip(texts, self.posteriors(texts) if self.model.labels else [np.zeros((0, 0))] * len(texts), strict=True):
-            if not len(post):
-                found.append((UND, 0.0))
-            else:
-                share = post.mean(0)
-                best = int(share.argmax())
-                found.append((self.model.labels[best], float(min(1.0, max(0.0, share[best])))))
+        if not self.model.labels:
+            return [(UND, 0.0)] * len(texts)
+        post, lens = self.posteriors(texts)
+        some = np.flatnonzero(lens)
+        found: list = [(UND, 0.0)] * len(texts)
+        if len(some):
+            share = np.add.reduceat(post, (np.cumsum(lens) - lens)[some], axis=0) / lens[some, None]
+            best = share.argmax(1)
+            score = np.clip(share[np.arange(len(some)), best], 0.0, 1.0).tolist()
+            for i, b, x in zip(some.tolist(), best.tolist(), score, strict=True):
+                found[i] = (self.model.labels[b], x)
         return found
 
 
@@ -194,7 +241,7 @@ def train(labelled: DataFrame, bound: int = BOUND, text_col: str = "text", lang_
     total = rows.count()
     share = min(1.0, 1.3 * bound / max(1, total))  # a hash threshold, so that about bound rows of any table leave the executors
     picked = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"])
-    sample = sorted(picked.select("h", F.substring("text", 1, 2500).alias("text"), "lang").collect())[:bound]
+    sample = sorted(picked.select("h", "text", "lang").collect())[:bound]
     if not sample:
         return Model((), np.zeros((FEATURES, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
     return fit([r.text for r in sample], [r.lang for r in sample])
@@ -208,7 +255,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         found = labeller(shipped).predict(texts)
         return {"doc_id": ids, "lang_pred": [f[0] for f in found], "score": [f[1] for f in found]}
 
-    return map_slices(texts_of(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double", 2048)
+    return map_slices(texts_of(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double", 1024)
 
 
 _open: dict = {}
@@ -241,8 +288,7 @@ def accept(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
+            for part in slices(batch, at, 1024):
                 found = labeller(shipped).predict([t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([lang != UND and score >= least for lang, score in found], pa.bool_()))
 
