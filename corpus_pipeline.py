@@ -6,7 +6,7 @@ texts have no language and go in the first stage; an empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from frostline.llm import bpe, langid, minhash, mixing, pii
@@ -45,7 +45,10 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, round_trip): ids of the text, and whether decoding them gives the text again."""
+    """(doc_id, copy, n_tokens, ids, round_trip): ids of the text, and whether decoding them gives the text again.
+
+    copy tells the rows that the mixture repeats apart: 1, 2, ... of one id and ids.
+    """
 
     def run(keys, texts):
         v = bpe.vocabulary()
@@ -53,7 +56,9 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         back = [v.decode(x.tolist()) == t.encode("utf-8", "surrogatepass") for x, t in zip(ids, texts, strict=True)]
         return {"doc_id": keys, "n_tokens": list(map(len, ids)), "ids": ids, "round_trip": back}
 
-    return map_slices(texts_of(docs), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    found = map_slices(texts_of(docs), run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+    alike = Window.partitionBy("doc_id", F.xxhash64("ids")).orderBy("n_tokens")
+    return found.select("doc_id", F.row_number().over(alike).alias("copy"), "n_tokens", "ids", "round_trip")
 
 
 STAGES = [("language", languages), ("near duplicates", near_duplicates), ("personal data", personal_data), ("mixture", mixture), ("token ids", token_ids)]
