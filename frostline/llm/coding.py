@@ -9,7 +9,7 @@ import numpy as np
 from .hashing import SpanTable, spans
 
 #: Bytes that a worker's known segments and their ids take before they are forgotten.
-KNOWN_BYTES = 48 << 20
+KNOWN_BYTES = 32 << 20
 
 
 def cuts_of(tape: np.ndarray) -> np.ndarray:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import weakref
@@ -18,7 +20,9 @@ from pyspark.sql import functions as F
 #: Documents, and bytes of their texts, handled at a time inside a Python worker; bounds memory, never drops rows.
 SLICE, SLICE_BYTES = 256, 1 << 20
 #: Bytes that all memos of a worker hold together, about, before room is made.
-MEMO_BYTES = 160 << 20
+MEMO_BYTES = 48 << 20
+#: Narrow rows of a checkpoint that go in one file.
+FILE_ROWS = 100_000
 #: What a dict entry of two small objects takes besides their contents.
 ENTRY = 200
 
@@ -71,13 +75,19 @@ def checkpoints(spark: SparkSession) -> None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="frostline-checkpoint-"))
+        if not named:
+            named = tempfile.mkdtemp(prefix="frostline-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        context.setCheckpointDir(named)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder and cut its lineage there."""
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Materialise df in the shared checkpoint folder and cut its lineage there.
+
+    Given the number of narrow rows that df has about, it is written in no more files than they need.
+    """
     checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df if rows is None else df.repartition(-(-max(1, rows) // FILE_ROWS))).checkpoint(eager=True)
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -153,17 +163,22 @@ def bucket_of(key: str, bounds: list) -> Column:
 SHARE, HOT_ROWS, MOST_SALTS = 1000, 1000, 64
 
 
-def hot_keys(counts: DataFrame, n: str, total: int, least: int = HOT_ROWS) -> DataFrame:
-    """counts' keys that are hot, with the salts to spread them over. Fewer than SHARE rows, whatever the table's size."""
+def hot_keys(counts: DataFrame, n: str, total: int, least: int = HOT_ROWS) -> list[tuple]:
+    """counts' keys that are hot, each with the salts to spread it over: fewer than SHARE, whatever the table's size."""
     share = max(least, -(-total // SHARE))
+    if total <= share:
+        return []
     salts = F.least(F.lit(MOST_SALTS), F.ceil(F.col(n) / share)).cast("int")
-    return counts.where(F.col(n) > share).withColumn("_salts", salts).drop(n)
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame, by: str) -> DataFrame:
-    """left joined with right on keys; left's rows of a hot key go to one of its salts by a hash of `by`, right's to all."""
-    few = F.broadcast(hot.select(*keys, "_salts"))  # fewer than SHARE rows
-    salts = F.coalesce("_salts", F.lit(1))
-    one = left.join(few, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("_salts")
-    every = right.join(few, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return one.join(every, [*keys, "_salt"]).drop("_salt")
+    return list(map(tuple, counts.where(F.col(n) > share).withColumn("_salts", salts).drop(n).collect()))
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: list[tuple], by: str) -> DataFrame:
+    """left joined with right on keys. left's rows of a hot key go to one of its salts by a hash of `by`, right's to all."""
+    if not hot:
+        return left.join(right, keys)
+    schema = ", ".join(f"`{k}` {left.schema[k].dataType.simpleString()}" for k in keys)
+    few = F.broadcast(left.sparkSession.createDataFrame(hot, f"{schema}, _salts int"))  # fewer than SHARE rows
+    one = left.join(few, keys).withColumn("_salt", F.pmod(F.xxhash64(by), F.col("_salts")).cast("int")).drop("_salts")
+    every = right.join(few, keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    warm = one.join(every, [*keys, "_salt"]).drop("_salt")
+    return left.join(few, keys, "left_anti").join(right, keys).unionByName(warm)

@@ -112,9 +112,9 @@ def sets_of(docs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return map_slices(docs.join(rows, "row", "left_semi"), sets, "node long, set binary")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, hot: list[tuple] = ()) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union. `hot` has the a of many pairs."""
-    joined = spread_join(pairs.join(sets.toDF("b", "right"), "b"), sets.toDF("a", "left"), ["a"], hot, "b")
+    joined = spread_join(pairs, sets.toDF("a", "left"), ["a"], hot, "b").join(sets.toDF("b", "right"), "b")
 
     def judge(batches):
         for batch in batches:
@@ -222,28 +222,28 @@ def near_duplicates(documents: DataFrame, words: int = 5, percent: int = 80, id_
     some = prints.where("n_shingles > 0")
     total = some.count()
     # a class of equal sets is named by its least row
-    classes = cut(some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")))
+    classes = cut(some.groupBy("h1", "h2").agg(F.min("row").alias("node"), F.count("*").alias("n"), F.any_value("bands").alias("bands")), total)
     entries = classes.select(F.col("node").alias("b"), F.explode("bands").alias("band"))
-    shared = entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("head")).where("n > 1")
-    groups = cut(spread_join(entries, shared.drop("n"), ["band"], hot_keys(shared.select("band", "n"), "n", BANDS * total), "b").select("head", "b").distinct())
+    shared = cut(entries.groupBy("band").agg(F.count("*").alias("n"), F.min("b").alias("head")).where("n > 1"), total)
+    groups = cut(spread_join(entries, shared.drop("n"), ["band"], hot_keys(shared.select("band", "n"), "n", BANDS * total), "b").select("head", "b").distinct(), total)
     stars = groups.where("head != b").select(F.col("head").alias("a"), "b")
     hot = hot_keys(stars.groupBy("a").agg(F.count("*").alias("n")), "n", stars.count())
     sets = cut(sets_of(docs.select("row", "text"), groups.select(F.col("b").alias("row")).distinct(), words))
-    links = cut(verified(stars, sets, percent, hot))
-    found = components(links)
+    links = cut(verified(stars, sets, percent, hot), total)
+    found = components(links, rows=total)
     # two classes that share a bucket share its head; groups of a head whose members are still apart are compared inside
-    placed = cut(groups.join(found.withColumnRenamed("id", "b"), "b", "left").select("head", "b", F.coalesce("component", "b").alias("component")))
+    placed = cut(groups.join(found.withColumnRenamed("id", "b"), "b", "left").select("head", "b", F.coalesce("component", "b").alias("component")), total)
     apart = placed.groupBy("head").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least < most and n > 2").select("head")
-    hot = hot.withColumnRenamed("a", "head")
     rest = spread_join(placed, apart, ["head"], hot, "b").join(sets.withColumnRenamed("node", "b"), "b").select("head", "b", "component", "set")
-    more = cut(across(rest, percent))
+    more = cut(across(rest, percent), total)
     if not more.isEmpty():
-        found = components(links.union(more))
+        found = components(links.union(more), rows=total)
     named = classes.join(found.withColumnRenamed("id", "node"), "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
-    hot = hot_keys(named.select("h1", "h2", "n"), "n", total)
+    hot = hot_keys(classes.select("h1", "h2", "n"), "n", total)
     parted = spread_join(some.select("row", "h1", "h2"), named.drop("n"), ["h1", "h2"], hot, "row").select("row", "component")
     ids = docs.select("row", "doc_id").join(prints.select("row", "n_shingles"), "row").join(parted, "row", "left")
-    ids = cut(ids.withColumn("component", F.coalesce("component", "row")))
+    ids = cut(ids.withColumn("component", F.coalesce("component", "row")), total)
+    # rows without a partner name themselves
     least = ids.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
     out = spread_join(ids, least.drop("n"), ["component"], hot_keys(least.select("component", "n"), "n", total), "row")
     return out.select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
