@@ -3,7 +3,8 @@
 Pieces of text become rows of a padded id matrix, bucketed by length. Each round looks every row's adjacent pairs up
 in a hash table, merges the leftmost pair of least rank in every row at once, compacts the rows and retires those
 without a pair left. Defined results: a null or empty text has no ids; repeated rows give repeated results; text is
-never cut; pieces over LONG bytes go through an equivalent heap so that one piece can't take quadratic time.
+never cut. A round takes time in proportion to the row, so that one piece takes quadratic time in a matrix: pieces over
+LONG bytes (no white space, no change between letters, digits and marks) go through an equivalent heap.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from .coding import SegmentCoder
 from .common import map_slices, texts_of
 from .hashing import spans
 
-LONG = 512
+LONG = 8192
 NONE = np.int32(2**31 - 1)
 
 

@@ -1,15 +1,14 @@
 """Operator 1: document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-Terms are the lower-cased words of a text, weights their counts. For term and coordinate three hashes give r and c, two
+Terms are the lower-cased words of a text, weights their counts. For term and coordinate two hashes give r and c, two
 Gamma(2, 1) draws, and b, a uniform one; with t = floor(ln w / r + b) the term's value is ln c - r * (t - b + 1), and
-the coordinate's sample is the (term, t) of least value. Two texts agree on a coordinate with a probability equal to
-their generalised Jaccard similarity, the sum of smaller over the sum of larger weights.
+the coordinate's sample is the (term, t) of least value, named by a third hash. Two texts agree on a coordinate with a
+probability equal to their generalised Jaccard similarity, the sum of smaller over the sum of larger weights.
 
 Documents are dealt once, by ranges of id; texts, counts and samples of a document then stay in its partition.
 Defined results: a null or empty text, or one of white space, has the fingerprint EMPTY in every coordinate and agrees
-with its like only; rows of one id follow each other in text order; null ids come first, but
-the last document is followed by the least id that is not null; other
-columns are ignored.
+with its like only; rows of one id follow each other in text order; null ids come first, but the last document is
+followed by the least id that is not null; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +37,7 @@ def sample(term: Column, log_weight: Column, k: int) -> Column:
     t = F.floor(log_weight / r + b)
     value = log_c - r * (t - b + F.lit(1.0))  # within -2000 .. 2000 for any count, so this keeps its order:
     high = F.floor((value + F.lit(2000.0)) * F.lit(float(1 << 19)))
-    return F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(g.bitwiseXOR(F.shiftleft(t, 40)), 32))
+    return F.shiftleft(high, 32).bitwiseOR(F.shiftrightunsigned(F.xxhash64(g, t), 32))
 
 
 def fingerprints(texts: DataFrame, keys: list[str], bodies: list[str], width: int = WIDTH) -> DataFrame:

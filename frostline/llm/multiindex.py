@@ -237,14 +237,14 @@ def link(vectors: DataFrame, least: float = LEAST, id_col: str = "vec_id", vecto
                 n = np.concatenate([hit[some] @ counts2, (hit & ~mutual)[:, too].T @ counts])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[some], ids2[too]])), pa.array(n), pa.array(np.concatenate([own[some], other[too]]))], schema=found_schema)
 
-    found = cut(pairs.mapInArrow(compare, FOUND))
-    comps = components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")))
+    found = cut(pairs.mapInArrow(compare, FOUND), total)
+    comps = components(found.select(F.col("id").alias("a"), F.col("partner").alias("b")), rows=total)
     counts = found.groupBy("id").agg(F.sum("n").alias("others"))
     # only here representatives become ids again: a component is named by its least vec_id
     placed = groups.join(counts.withColumnRenamed("id", "rep"), "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
     linked = placed.join(named, "component").select(*same, "n", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
-    few = hot_keys(linked.select(*same, "n"), "n", rows.count())
+    few = hot_keys(groups.select(*same, "n"), "n", rows.count())
     lone = hashed.where("not fit").select("vec_id", F.lit(None).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"))
     out = spread_join(keyed.select("vec_id", *same), linked.drop("n"), same, few, "vec_id").select("vec_id", "n_links", "component_id").unionByName(lone)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
