@@ -149,14 +149,17 @@ def marks_of(bounds: list) -> Column:
     return F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
 
 
-def bucket_of(key: str, bounds: list) -> Column:
-    """Index of the range that key falls in: how many bounds are at most key (null: 0), by binary search."""
-    if not bounds:
-        return F.lit(0)
+def with_bucket(df: DataFrame, key: str, bounds: list, name: str) -> DataFrame:
+    """df with the index of the range that key falls in: how many bounds are at most key (null: 0).
+
+    A binary search, one projection a step; without lambdas, whose variables would keep equal exchanges from being reused.
+    """
     marks, n = marks_of(bounds), len(bounds)
-    steps = F.array(*[F.lit(1 << i) for i in range(n.bit_length() - 1, -1, -1)])
-    onward = lambda at, step: F.when((at + step <= n) & (F.get(marks, at + step - 1) <= F.col(key)), at + step).otherwise(at)
-    return F.aggregate(steps, F.lit(0), onward)
+    out, at = df.withColumn(name, F.lit(0)), F.col(name)
+    for i in range(n.bit_length() - 1, -1, -1):
+        onward = at + F.lit(1 << i)
+        out = out.withColumn(name, F.when((onward <= n) & (F.get(marks, onward - 1) <= F.col(key)), onward).otherwise(at))
+    return out
 
 
 #: A key that holds more than one in SHARE of a table's rows is hot, if it holds more than HOT_ROWS.

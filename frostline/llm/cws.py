@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bucket_of, marks_of, quantile_bounds, shuffle_partitions, texts_of
+from .common import marks_of, quantile_bounds, shuffle_partitions, texts_of, with_bucket
 
 WIDTH = 32
 EMPTY = "ffffffff"
@@ -90,7 +90,7 @@ def report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     bounds = quantile_bounds(texts, "doc_id", 4 * parts)
     # a document that opens a range also closes the range before; the first document of all closes the last one
     first = texts.agg(F.min("doc_id")).head()[0]
-    texts = texts.withColumn("own", bucket_of("doc_id", bounds))
+    texts = with_bucket(texts, "doc_id", bounds, "own")
     is_open = (F.col("own") > 0) & (F.get(marks_of(bounds), F.col("own") - 1) == F.col("doc_id")) if bounds else F.lit(False)
     last = len(bounds)
     copies = F.array_compact(F.array(

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .coding import SegmentCoder
-from .common import arrow_schema, bucket_of, quantile_bounds, shared_path, shuffle_partitions, slices, texts_of
+from .common import arrow_schema, quantile_bounds, shared_path, shuffle_partitions, slices, texts_of, with_bucket
 from .hashing import spans
 
 END_ID = 0
@@ -214,7 +214,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
     texts = texts_of(docs, id_col, text_col)
     parts = shuffle_partitions(docs.sparkSession)
     bounds = quantile_bounds(texts, "doc_id", 2 * parts)
-    dealt = texts.withColumn("bucket", bucket_of("doc_id", bounds)).repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = with_bucket(texts, "doc_id", bounds, "bucket").repartition(parts, "bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "text")
     schema = arrow_schema(docs.sparkSession.createDataFrame([], SHARDS).schema)
 
     def run(batches):
