@@ -5,6 +5,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Protocol:
+    # fixed values of the evaluation protocol, but for the seed
     dev_quantile: float = 0.8
     final_quantile: float = 0.9
     ks: tuple[int, ...] = (5, 10, 20, 50)
@@ -17,6 +18,8 @@ class Protocol:
     # published late-fusion weights: text, visual, product
     learned: tuple[float, float, float] = field(default=(0.77085, 0.21695, 0.01219))
     near_duplicate: float = 0.8
+    # a confident miss has its best rank beyond this
+    miss_beyond: int = 50
 
 
 PROTOCOL = Protocol()

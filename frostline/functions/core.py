@@ -96,7 +96,18 @@ def has_non_ascii(text) -> Column:
 
 
 def iso_utc(ms) -> Column:
-    return F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    """ISO 8601 in UTC, whatever the session's time zone."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=ms.cast("decimal(18,0)") / F.lit(1000).cast("decimal(18,0)"))
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def percent(value, digits: int = 1) -> Column:
+    """A share as a percentage with a fixed number of decimals."""
+    return F.format_string(f"%.{digits}f%%", value * 100)
+
+
+def fixed(value, digits: int) -> Column:
+    return F.format_string(f"%.{digits}f", value)
 
 
 def luma(r, g, b) -> Column:

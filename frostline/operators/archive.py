@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jpeg import jpeg_dimensions
@@ -28,3 +28,16 @@ def duplicates(images: DataFrame) -> DataFrame:
     suspects = images.groupBy("crc", "size").agg(F.count("*").alias("k")).where("k > 1").select("crc", "size")
     rows = images.join(suspects, ["crc", "size"], "left_semi").select("item", F.sha2("content", 256).alias("digest"))
     return rows.groupBy("digest").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("item")).alias("items")).where("n > 1").orderBy(F.desc("n"), "digest")
+
+
+def names(images: DataFrame) -> DataFrame:
+    """(name, item, suffix): the stem as a number and the suffix in lower case; a name that leaves its folder is an error."""
+    unsafe = F.col("name").rlike(r"^[/\\]|(^|[/\\])\.\.([/\\]|$)")
+    safe = F.when(unsafe, F.raise_error(F.concat(F.lit("unsafe member name: "), "name"))).otherwise(F.col("name"))
+    stem = F.regexp_extract(safe, r"([^/\\]*)\.[A-Za-z0-9]+$", 1)
+    return images.select("name", stem.try_cast("long").alias("item"), F.lower(F.regexp_extract(safe, r"\.([A-Za-z0-9]+)$", 1)).alias("suffix"))
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, digest) of whole files."""
+    return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("digest"))

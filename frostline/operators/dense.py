@@ -58,10 +58,26 @@ def scores(profile: DataFrame, features: DataFrame, candidates: DataFrame) -> Da
 
 
 def most_similar_pairs(features: DataFrame, among: DataFrame, n: int) -> DataFrame:
-    """(item_a, item_b, similarity) of the n most similar pairs of the stated items, by cosine."""
-    from ..functions.core import cosine
+    """(item_a, item_b, similarity) of the n most similar pairs of the stated items, by cosine.
 
+    Blocks of the items meet each other; a pair of blocks yields its n best pairs.
+    """
+    spread = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = features.join(among, "item", "left_semi")
-    left, right = some.toDF("item_a", "a"), some.toDF("item_b", "b")
-    pairs = left.join(right, F.col("item_a") < F.col("item_b")).select("item_a", "item_b", F.round(cosine(F.col("a"), F.col("b")), 9).alias("similarity"))
+    left, right = _blocks(some, "item", "embedding", max(1, spread // 4)), _blocks(some, "item", "embedding", spread)
+
+    def unit(x: np.ndarray) -> np.ndarray:
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.where(size > 0, x / np.where(size > 0, size, 1), 0)
+
+    def best(batches):
+        for batch in batches:
+            for a, x, b, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a, b = np.frombuffer(a, "<i8"), np.frombuffer(b, "<i8")
+                s = np.round(unit(np.frombuffer(x).reshape(len(a), -1)) @ unit(np.frombuffer(y).reshape(len(b), -1)).T, 9)
+                i, j = np.nonzero(a[:, None] < b[None])
+                order = np.lexsort((b[j], a[i], -s[i, j]))[:n]
+                yield pa.RecordBatch.from_pydict({"item_a": a[i[order]], "item_b": b[j[order]], "similarity": s[i[order], j[order]]})
+
+    pairs = left.crossJoin(right.toDF("ids2", "matrix2")).mapInArrow(best, "item_a long, item_b long, similarity double")
     return pairs.orderBy(F.desc("similarity"), "item_a", "item_b").limit(n)

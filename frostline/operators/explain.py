@@ -61,3 +61,20 @@ def quota_sample(eligible: DataFrame, topics: list[str], quota: int, salt: str)
         out = got if out is None else out.unionByName(got)
         taken = out.select("item")
     return out
+
+
+def search(catalog: DataFrame, words: str, topic: str) -> DataFrame:
+    """Rows of catalog (title, topic, ...) whose title has the words, in any case; without words, those of the topic."""
+    asked = words.strip().lower()
+    return catalog.where(F.contains(F.lower("title"), F.lit(asked)) if asked else F.col("topic") == topic)
+
+
+def stratified(rows: DataFrame, strata: list[str], by: str, key: str, salt: str, expected: list[tuple] = ()) -> DataFrame:
+    """(*strata, key): per stratum the key of least hash; a stratum of `expected` that has no rows is an error."""
+    h = F.sha2(F.concat(F.lit(f"{salt}:"), F.col(by).cast("string")).cast("binary"), 256)
+    picked = rows.groupBy(*strata).agg(F.min(F.struct(h.alias("h"), key)).alias("m")).select(*strata, F.col(f"m.{key}").alias(key))
+    if expected:
+        got = {tuple(r) for r in picked.select(*strata).collect()}  # a row a stratum
+        if missing := sorted(set(expected) - got, key=str):
+            raise ValueError(f"empty strata: {missing}")
+    return picked

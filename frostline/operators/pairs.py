@@ -93,8 +93,10 @@ def features(train: DataFrame, item_vectors: DataFrame, dense_features: DataFram
     aims = targets(train)
     past = histories(train, aims)
     asked = aims.select("uid", "item", F.lit(True).alias("is_target")).unionByName(negatives(train, aims).select("uid", F.col("neg_item").alias("item"), F.lit(False).alias("is_target")))
-    sparse = text.profiles(past, item_vectors)
-    by_text = asked.join(item_vectors.withColumnRenamed("w", "c"), "item").join(sparse, ["uid", "term"]).groupBy("uid", "item").agg(F.sum(F.col("w") * F.col("c")).alias("text"))
+    sums = text.profile_sums(past, item_vectors)
+    wanted = asked.join(text.packed(item_vectors), "item").repartition("uid").select("uid", "item", F.inline("v")).withColumnRenamed("w", "c")
+    dots = wanted.join(sums, ["uid", "term"]).groupBy("uid", "item").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
+    by_text = dots.join(text.sizes(sums), "uid").select("uid", "item", (F.col("dot") / F.col("size")).alias("text"))
     looks = dense.profiles(past, dense_features)
     by_look = asked.join(dense_features, "item").join(looks, "uid").select("uid", "item", dot(F.col("profile"), F.col("embedding")).alias("visual"))
     scored = asked.join(by_look, ["uid", "item"]).join(by_text, ["uid", "item"], "left").select("uid", "item", "is_target", F.coalesce("text", F.lit(0.0)).alias("text"), "visual")
@@ -106,10 +108,12 @@ def features(train: DataFrame, item_vectors: DataFrame, dense_features: DataFram
 
 
 def standardisation(pairs: DataFrame) -> DataFrame:
-    """(feature, mean, std, low, high) over positives and negatives of the training part."""
+    """(feature, mean, std, low, high) over positives and negatives of the training part; a feature that doesn't vary
+    can't be standardised and is an error when read."""
     part = pairs.where("not is_calibration")
     rows = part.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{s}_{c}").alias("x")) for c in ("text", "visual", "product") for s in ("pos", "neg")])).alias("f")).select("f.*")
-    return rows.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return rows.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high")).withColumn(
+        "std", F.when(F.col("std") > 0, F.col("std")).otherwise(F.raise_error(F.concat(F.lit("feature does not vary: "), "feature"))))
 
 
 def accuracy(pairs: DataFrame) -> DataFrame:
@@ -117,3 +121,12 @@ def accuracy(pairs: DataFrame) -> DataFrame:
     rows = pairs.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), (F.col(f"pos_{c}") - F.col(f"neg_{c}")).alias("margin")) for c in ("text", "visual", "product")])).alias("f")).select("f.*")
     share = lambda cond: F.round(F.avg(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))), 6)
     return rows.groupBy("feature").agg(share(F.col("margin") > 0).alias("strict_accuracy"), share(F.col("margin") == 0).alias("tie_rate"))
+
+
+def metadata(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """(users, pairs, train_users, train_pairs, calibration_users, calibration_pairs, smallest_pool) of a pair set, whose
+    users' eligible items `known` counts."""
+    of = lambda c, name: (F.countDistinct(F.when(c, F.col("uid"))).alias(f"{name}_users"), F.count_if(c).alias(f"{name}_pairs"))
+    own = pairs.agg(F.countDistinct("uid").alias("users"), F.count("*").alias("pairs"), *of(~F.col("is_calibration"), "train"), *of(F.col("is_calibration"), "calibration"))
+    pool = known.join(pairs.select("uid").distinct(), "uid", "left_semi").agg(F.min("eligible").alias("smallest_pool"))
+    return own.crossJoin(F.broadcast(pool))  # single rows

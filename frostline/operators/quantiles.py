@@ -13,21 +13,36 @@ def nearest_index(n: int, p: float) -> int:
     return int(Decimal((n - 1) * p).quantize(Decimal(1), ROUND_HALF_EVEN))
 
 
-def value_at(df: DataFrame, column: str, index: int, n: int | None = None):
-    """The value at an index of the sorted column: a sketch brackets it, and only the bracket is sorted."""
+def values_at(df: DataFrame, column: str, indexes: list[int], n: int | None = None) -> list:
+    """The values at indexes of the sorted column (None beyond its ends): a sketch brackets each, and only the brackets
+    are sorted."""
     n = df.count() if n is None else n
-    if not 0 <= index < n:
-        return None
-    p = (index + 0.5) / n
-    low, high = df.select(F.percentile_approx(column, [max(0.0, p - 0.01), min(1.0, p + 0.01)], 10_000)).head()[0]
-    below, within = df.agg(F.count_if(F.col(column) < low), F.count_if(F.col(column).between(low, high))).head()
-    if below <= index < below + within:
-        part, at = df.where(F.col(column).between(low, high)), index - below
-    elif index < below:
-        part, at = df.where(F.col(column) < low), index
-    else:
-        part, at = df.where(F.col(column) > high), index - below - within
-    return part.select(column).orderBy(column).offset(at).limit(1).head()[0]
+    inside = [i for i in indexes if 0 <= i < n]
+    if not inside:
+        return [None] * len(indexes)
+    x = F.col(column)
+    marks = [min(1.0, max(0.0, (i + 0.5) / n + d)) for i in inside for d in (-0.01, 0.01)]
+    ends = df.select(F.percentile_approx(column, marks, 10_000)).head()[0]
+    brackets = list(zip(ends[::2], ends[1::2], strict=True))
+    counts = df.agg(*[c for low, high in brackets for c in (F.count_if(x < low), F.count_if(x.between(low, high)))]).head()
+    found = []
+    for i, (low, high), below, within in zip(inside, brackets, counts[::2], counts[1::2], strict=True):
+        if below <= i < below + within:
+            part, at = df.where(x.between(low, high)), i - below
+        elif i < below:
+            part, at = df.where(x < low), i
+        else:
+            part, at = df.where(x > high), i - below - within
+        found.append((part.select(F.lit(i).alias("i"), column).orderBy(column).offset(at).limit(1)))
+    rows = found[0]
+    for f in found[1:]:
+        rows = rows.unionAll(f)
+    by_index = dict(map(tuple, rows.distinct().collect()))  # a row an index
+    return [by_index.get(i) for i in indexes]
+
+
+def value_at(df: DataFrame, column: str, index: int, n: int | None = None):
+    return values_at(df, column, [index], n)[0]
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:

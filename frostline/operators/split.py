@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quantiles import nearest_index, value_at
+from .quantiles import nearest_index, values_at
 
 
-@dataclass(frozen=True)
+@dataclass
 class Split:
     """History before a cut-off and a window from it on, to an optional end."""
 
@@ -19,43 +20,43 @@ class Split:
     start: int
     end: int | None = None
 
-    @property
+    @cached_property
     def train(self) -> DataFrame:
         return self.inter.where(F.col("ts_ms") < self.start)
 
-    @property
+    @cached_property
     def window(self) -> DataFrame:
         rows = self.inter.where(F.col("ts_ms") >= self.start)
         return rows if self.end is None else rows.where(F.col("ts_ms") < self.end)
 
-    @property
+    @cached_property
     def train_items(self) -> DataFrame:
         return self.train.select("item").distinct()
 
-    @property
+    @cached_property
     def train_users(self) -> DataFrame:
         return self.train.select("uid").distinct()
 
-    @property
+    @cached_property
     def cold_items(self) -> DataFrame:
         return self.window.select("item").distinct().join(self.train_items, "item", "left_anti")
 
-    @property
+    @cached_property
     def cold_rows(self) -> DataFrame:
         return self.window.join(self.train_items, "item", "left_anti").join(self.train_users, "uid", "left_semi")
 
-    @property
+    @cached_property
     def warm_rows(self) -> DataFrame:
         return self.window.join(self.train_items, "item", "left_semi").join(self.train_users, "uid", "left_semi")
 
-    @property
+    @cached_property
     def positives(self) -> DataFrame:
         return self.cold_rows.select("uid", "item").distinct()
 
 
 def cutoffs(inter: DataFrame, dev: float, final: float) -> tuple[int, int]:
     n = inter.count()
-    return tuple(value_at(inter, "ts_ms", nearest_index(n, p), n) for p in (dev, final))
+    return tuple(values_at(inter, "ts_ms", [nearest_index(n, p) for p in (dev, final)], n))
 
 
 def violations(dev: Split, final: Split, titles: DataFrame) -> DataFrame:

@@ -36,18 +36,43 @@ def unit(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.withColumn(value, F.col(value) / size)
 
 
-def profiles(history: DataFrame, item_vectors: DataFrame) -> DataFrame:
-    """(uid, term, w): the unit sum of the vectors of a history, repeats counting as often as they occur."""
-    # histories are counted per item first, so that the join carries each pair once
+def packed(item_vectors: DataFrame) -> DataFrame:
+    """(item, v): a vector's terms and weights in one row, so that a history's vectors move as a row an item."""
+    return item_vectors.groupBy("item").agg(F.collect_list(F.struct("term", "w")).alias("v"))
+
+
+def profile_sums(history: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """(uid, term, w): the sum of the vectors of a history, repeats counting as often as they occur.
+
+    Histories are counted per item first, so that the join carries each pair once; a user's vectors then lie in one
+    partition, and everything that is grouped by user stays there.
+    """
     counted = history.groupBy("uid", "item").agg(F.count("*").alias("n"))
-    summed = counted.join(item_vectors, "item").groupBy("uid", "term").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
-    return unit(summed, "uid", "w")
+    rows = counted.join(packed(item_vectors), "item").repartition("uid")
+    return rows.select("uid", "n", F.inline("v")).groupBy("uid", "term").agg(F.sum(F.col("n") * F.col("w")).alias("w"))
+
+
+def profiles(history: DataFrame, item_vectors: DataFrame) -> DataFrame:
+    """(uid, term, w): the unit sum of the vectors of a history."""
+    return unit(profile_sums(history, item_vectors), "uid", "w")
+
+
+def sizes(sums: DataFrame) -> DataFrame:
+    """(uid, size): the length of each sum."""
+    return sums.groupBy("uid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+
 
+def scores(sums: DataFrame, item_vectors: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(uid, item, score) of the pairs that share a term: cosines of the sums of profile_sums with the candidates.
 
-def scores(profile: DataFrame, item_vectors: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(uid, item, score) of the pairs that share a term."""
-    pool = item_vectors.join(candidates, "item", "left_semi").withColumnRenamed("w", "c")
-    return profile.join(pool, "term").groupBy("uid", "item").agg(F.sum(F.col("w") * F.col("c")).alias("score"))
+    A sum meets the candidates' weights by term, and itself under no item, so that one pass gives products and length.
+    """
+    pool = item_vectors.join(candidates, "item", "left_semi").groupBy("term").agg(F.collect_list(F.struct("item", F.col("w").alias("c"))).alias("cs"))
+    own = F.array(F.struct(F.lit(None).cast(item_vectors.schema["item"].dataType).alias("item"), F.col("w").alias("c")))
+    rows = sums.join(pool, "term", "left").select("uid", "w", F.inline(F.when(F.col("cs").isNull(), own).otherwise(F.concat(own, F.col("cs")))))
+    dots = rows.groupBy("uid", "item").agg(F.sum(F.col("w") * F.col("c")).alias("dot"))
+    size = F.sqrt(F.max(F.when(F.col("item").isNull(), F.col("dot"))).over(Window.partitionBy("uid")))
+    return dots.withColumn("size", size).where(F.col("item").isNotNull()).select("uid", "item", (F.col("dot") / F.col("size")).alias("score"))
 
 
 def densified(scored: DataFrame, users: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -110,6 +110,15 @@ def gated(rows: str, settings: str, key: str) -> str:
     return f"SELECT {key}, count(*) users, count(*) FILTER ({use}) visual_users, {pick('r', 'recall')}, {pick('n', 'ndcg')}, {pick('h', 'hit_rate')}, round(count(*) FILTER ({use}) / count(*), 6) visual_share FROM {rows} CROSS JOIN {settings} GROUP BY {key}"
 
 
+CATEGORY = "CASE WHEN th > 0 AND vh > 0 THEN 'both' WHEN th > 0 THEN 'text_only' WHEN vh > 0 THEN 'visual_only' ELSE 'neither' END"
+POLICIES = gated("(SELECT * FROM gr WHERE part = 'gate_audit')", "settings", "policy")
+AUDIT = (
+    *GATE,
+    f"devgrid AS ({gated('(SELECT * FROM gr WHERE part = ' + chr(39) + 'gate_dev' + chr(39) + ')', 'thr', 'share')})",
+    "best AS (SELECT share FROM devgrid ORDER BY ndcg DESC, recall DESC, share LIMIT 1)",
+    "settings AS (SELECT 'gate' policy, threshold FROM thr WHERE share IN (SELECT share FROM best) UNION ALL SELECT 'text', NULL UNION ALL SELECT 'visual', CAST('inf' AS DOUBLE))",
+)
+
 PAIRS = (
     "seqs AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY ts_ms DESC, item DESC, event_id DESC) back, count(*) OVER (PARTITION BY uid) n FROM dev)",
     "loo AS (SELECT uid, item, ts_ms FROM seqs s WHERE back = 1 AND n >= 2 AND NOT EXISTS (SELECT 1 FROM seqs o WHERE o.uid = s.uid AND o.item = s.item AND o.back > 1))",
@@ -152,6 +161,18 @@ CASES = (
 )
 
 
+def overlap(a: str, b: str) -> str:
+    return f"""SELECT count(*) users, round(avg(c), 6) mean_intersection, round(avg(c / (na + nb - c)), 6) mean_jaccard, count(*) FILTER (c < greatest(na, nb)) changed FROM (
+      SELECT u.uid, (SELECT count(*) FROM {a} a WHERE a.uid = u.uid AND rank <= 10) na, (SELECT count(*) FROM {b} b WHERE b.uid = u.uid AND rank <= 10) nb,
+      (SELECT count(*) FROM {a} t JOIN {b} v ON t.uid = v.uid AND t.item = v.item WHERE t.uid = u.uid AND t.rank <= 10 AND v.rank <= 10) c FROM usr u)"""
+
+
+CLEAN = (
+    "ccand AS (SELECT item FROM cand WHERE item NOT IN (SELECT item FROM bits WHERE h IN (SELECT h FROM bits WHERE item IN (SELECT item FROM trainitems))))",
+    "cpos AS (SELECT * FROM pos WHERE item IN (SELECT item FROM ccand))",
+)
+
+
 def exposure(model: str, ranks: str) -> str:
     return f"""SELECT '{model}' model, max(m) candidates, round(avg(CAST(n > 0 AS DOUBLE)), 6) coverage, max(n) most,
       round(CASE WHEN sum(n) = 0 THEN 0 ELSE 2 * sum(i * n) / (max(m) * sum(n)) - (max(m) + 1) / max(m) END, 6) gini,
@@ -192,6 +213,18 @@ def cold_row(name: str, win: str, train: str) -> str:
     return f"SELECT '{name}' split, count(*) AS \"rows\", count(DISTINCT uid) users, count(DISTINCT uid) FILTER (uid IN (SELECT uid FROM dev)) users_with_history, count(DISTINCT item) items FROM {win} WHERE item NOT IN (SELECT item FROM {train})"
 
 
+def final(sql: str) -> str:
+    """The same SQL over the final test split."""
+    swaps = (("pos AS (SELECT DISTINCT uid, item FROM vrows)", "trows"), ("cand AS (SELECT item FROM vcold)", "tcold"), ("hist AS (SELECT * FROM dev WHERE", "fin"), ("trainitems AS (SELECT DISTINCT item FROM dev)", "fin"))
+    for old, table in swaps:
+        new = old
+        for word in ("vrows", "vcold", "FROM dev"):
+            new = new.replace(word, f"FROM {table}" if word.startswith("FROM") else table)
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
 def hashes(body: str) -> str:
     near = """near AS (SELECT item, nearest_item, distance FROM (SELECT c.item, t.item nearest_item, bit_count(xor(c.h, t.h)) distance, row_number() OVER (PARTITION BY c.item ORDER BY bit_count(xor(c.h, t.h)), t.item) o
       FROM bits c, bits t WHERE c.item IN (SELECT item FROM cand) AND t.item IN (SELECT item FROM trainitems)) WHERE o = 1)"""
@@ -239,25 +272,22 @@ SQL: dict[str, str] = {
     "hamming_histogram": hashes("SELECT CAST(distance AS INT) distance, count(*) items FROM near GROUP BY distance"),
     "clean_pool_metrics": with_(
         f"SELECT 'text' model, * FROM ({metrics_of('ctrk', 'cpos')}) UNION ALL SELECT 'visual', * FROM ({metrics_of('cvrk', 'cpos')})",
-        "ccand AS (SELECT item FROM cand WHERE item NOT IN (SELECT item FROM bits WHERE h IN (SELECT h FROM bits WHERE item IN (SELECT item FROM trainitems))))",
-        "cpos AS (SELECT * FROM pos WHERE item IN (SELECT item FROM ccand))",
+        *CLEAN,
         *[f"c{t}rk AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, md5(concat('{SEED}:', uid, ':', item)), item) rank FROM {t}sc WHERE item IN (SELECT item FROM ccand))" for t in "tv"],
     ),
     "rank_fusion_grid": with_("SELECT * FROM grid", FUSED, GRID),
     "rank_fusion_selected": with_("SELECT * FROM grid ORDER BY ndcg DESC, recall DESC, weight LIMIT 1", FUSED, GRID),
     "complementarity": with_("SELECT CASE WHEN t AND v THEN 'both' WHEN t THEN 'text_only' WHEN v THEN 'visual_only' ELSE 'neither' END category, count(*) users FROM hits GROUP BY 1", HITS),
-    "topk_overlap": with_("""SELECT count(*) users, round(avg(c), 6) mean_intersection, round(avg(c / (na + nb - c)), 6) mean_jaccard, count(*) FILTER (c < greatest(na, nb)) changed FROM (
-      SELECT u.uid, (SELECT count(*) FROM trk WHERE trk.uid = u.uid AND rank <= 10) na, (SELECT count(*) FROM vrk WHERE vrk.uid = u.uid AND rank <= 10) nb,
-      (SELECT count(*) FROM trk t JOIN vrk v ON t.uid = v.uid AND t.item = v.item WHERE t.uid = u.uid AND t.rank <= 10 AND v.rank <= 10) c FROM usr u)"""),
+    "topk_overlap": with_(overlap("trk", "vrk")),
     "gate_partition": with_(f'SELECT uid, {PART} AS "partition" FROM usr'),
     "gate_thresholds": with_("SELECT share, round(threshold, 6) threshold FROM thr", *GATE),
     "gate_dev_grid": with_(gated("(SELECT * FROM gr WHERE part = 'gate_dev')", "thr", "share"), *GATE),
-    "gate_audit": with_(
-        gated("(SELECT * FROM gr WHERE part = 'gate_audit')", "settings", "policy"), *GATE,
-        f"devgrid AS ({gated('(SELECT * FROM gr WHERE part = ' + chr(39) + 'gate_dev' + chr(39) + ')', 'thr', 'share')})",
-        "best AS (SELECT share FROM devgrid ORDER BY ndcg DESC, recall DESC, share LIMIT 1)",
-        "settings AS (SELECT 'gate' policy, threshold FROM thr WHERE share IN (SELECT share FROM best) UNION ALL SELECT 'text', NULL UNION ALL SELECT 'visual', CAST('inf' AS DOUBLE))",
-    ),
+    "gate_audit": with_(POLICIES, *AUDIT),
+    "gate_contingency": with_(
+        f"SELECT scope, {CATEGORY} category, count(*) users FROM (SELECT 'all' scope, th, vh FROM aud UNION ALL SELECT 'gated', th, vh FROM aud, settings WHERE policy = 'gate' AND top_score <= threshold) GROUP BY ALL",
+        *AUDIT, "aud AS (SELECT * FROM gr WHERE part = 'gate_audit')"),
+    "gate_acceptance": with_(f"SELECT g.ndcg > t.ndcg AND g.recall > t.recall accepted FROM ({POLICIES}) g, ({POLICIES}) t WHERE g.policy = 'gate' AND t.policy = 'text'", *AUDIT),
+    "gate_partition_check": with_(f"SELECT count(*) users, count(*) FILTER (p = 'gate_dev') gate_dev, count(*) FILTER (p = 'gate_audit') gate_audit, 0::BIGINT in_both, count(*) FILTER (p IS NULL) in_none FROM (SELECT uid, {PART} p FROM usr)"),
     "first_seen": with_("SELECT item, first_ts FROM firsts", *PAIRS),
     "loo_targets": with_("SELECT uid, item, ts_ms FROM loo", *PAIRS),
     "availability_asof": with_("SELECT uid, item, available FROM avail", *PAIRS),
@@ -266,6 +296,10 @@ SQL: dict[str, str] = {
     "pair_standardization": with_("SELECT feature, round(mean, 6) mean, round(std, 6) std, round(low, 6) + 0e0 low, round(high, 6) + 0e0 high FROM stats", *PAIRS),
     "pair_accuracy": with_("SELECT feature, round(avg(CAST(p - n > 0 AS DOUBLE)), 6) strict_accuracy, round(avg(CAST(p - n = 0 AS DOUBLE)), 6) tie_rate FROM tall GROUP BY feature", *PAIRS),
     "learned_fusion_metrics": with_(metrics_of("lrk"), *LEARNED),
+    "learned_fusion_clean_metrics": with_(metrics_of("clrk", "cpos"), *LEARNED, *CLEAN, f"clrk AS (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, md5(concat('{SEED}:', uid, ':', item)), item) rank FROM lsc WHERE item IN (SELECT item FROM ccand))"),
+    "learned_fusion_overlap": with_(overlap("lrk", "trk"), *LEARNED),
+    "pair_metadata": with_(
+        "SELECT count(DISTINCT uid) users, count(*) pairs, " + ", ".join(f"count(DISTINCT uid) FILTER ({c}) {n}_users, count(*) FILTER ({c}) {n}_pairs" for c, n in (("NOT is_calibration", "train"), ("is_calibration", "calibration"))) + ", (SELECT min(available - (SELECT count(DISTINCT d.item) FROM dev d WHERE d.uid = a.uid)) FROM avail a WHERE uid IN (SELECT uid FROM pairs)) smallest_pool FROM pairs", *PAIRS),
     "acceptance_gate": with_(f"SELECT l.ndcg > t.ndcg AND l.recall > t.recall accepted FROM ({metrics_of('lrk')}) l, ({metrics_of('trk')}) t WHERE l.k = 10 AND t.k = 10", *LEARNED),
     "error_summary": with_("SELECT count(*) users, CAST(sum(z) AS BIGINT) zero_score_positives, round(avg(b), 6) mean_best_rank FROM (SELECT uid, min(rank) b, count(*) FILTER (score = 0) z FROM trk JOIN pos USING (uid, item) GROUP BY uid)"),
     "near_duplicate_audit": with_(
@@ -274,7 +308,7 @@ SQL: dict[str, str] = {
     ),
     "history_buckets": with_(f"SELECT bucket, {MEANS} FROM ({users_of('trk', 'pos', TEN)}) JOIN buckets USING (uid) GROUP BY bucket"),
     "case_strong_hits": with_("SELECT uid, best_item, best_rank, round(best_score, 6) best_score FROM allcases WHERE best_rank <= 3 AND NOT exact ORDER BY allcases.best_score DESC, uid LIMIT 5", *CASES),
-    "case_confident_misses": with_("SELECT uid, best_item, best_rank, top_item, round(top_score, 6) top_score FROM allcases WHERE best_rank > 10 AND allcases.top_score > 0 ORDER BY allcases.top_score DESC, uid LIMIT 5", *CASES),
+    "case_confident_misses": with_(f"SELECT uid, best_item, best_rank, top_item, round(top_score, 6) top_score FROM allcases WHERE best_rank > {PROTOCOL.miss_beyond} AND allcases.top_score > 0 ORDER BY allcases.top_score DESC, uid LIMIT 5", *CASES),
     "exposure_summary": with_(exposure("text", "trk") + " UNION ALL " + exposure("visual", "vrk")),
     "demo_samples": with_(
         """SELECT bucket, outcome, p.uid, string_agg(t, '|' ORDER BY event_id) history_titles FROM picked p JOIN recent r ON r.uid = p.uid GROUP BY ALL""", HITS,
@@ -298,6 +332,8 @@ SQL: dict[str, str] = {
         f"res AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, item) place FROM ({SIM.format(q='hq')})) WHERE place <= 10)",
         "ev AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY s DESC, pos) o FROM (SELECT res.item, c.item evidence, c.pos, coalesce(round((SELECT sum(a.w * b.w) FROM vec a JOIN vec b USING (term) WHERE a.item = res.item AND b.item = c.item), 9), 0) s FROM res CROSS JOIN chosen c))",
     ),
+    "hash_boundary_audit": hashes("SELECT count(*) items, " + ", ".join(f"count(*) FILTER (distance <= {d}) within_{d}" for d in (0, 2, 5)) + " FROM near"),
+    "hash_boundary_examples": hashes("SELECT item, nearest_item, CAST(distance AS INT) distance FROM near ORDER BY near.distance, item LIMIT 100"),
     "exact_duplicate_groups": with_("SELECT sha256(text) digest, count(*) n, min(doc_id) first_item, max(doc_id) last_item FROM documents GROUP BY 1 HAVING count(*) > 1"),
     "duplicate_cross_boundary": with_("SELECT digest, count(*) n FROM (SELECT sha256(text) digest, doc_id IN (SELECT item FROM trainitems) t, doc_id IN (SELECT item FROM cand) c FROM documents) WHERE t OR c GROUP BY digest HAVING bool_or(t) AND bool_or(c)"),
     "self_join_similarity_top10": with_("""SELECT item_a, item_b, round(s, 6) + 0e0 similarity FROM (SELECT a.item item_a, b.item item_b, round(sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x))), 9) s FROM emb a JOIN emb b ON a.pos = b.pos AND a.item < b.item
@@ -305,3 +341,4 @@ SQL: dict[str, str] = {
     "dhash_from_grid": """SELECT part, string_agg(printf('%X', nibble), '' ORDER BY y, h) dhash FROM (SELECT part, y, x // 4 h, CAST(sum(CASE WHEN (part * 31 + y * 17 + x * x * part) % 256 > (part * 31 + y * 17 + (x + 1) * (x + 1) * part) % 256 THEN 1 << (3 - x % 4)::INT ELSE 0 END) AS BIGINT) nibble
       FROM (SELECT CAST(p_partkey AS BIGINT) part FROM part) CROSS JOIN range(0, 8) a(y) CROSS JOIN range(0, 8) b(x) GROUP BY ALL) GROUP BY part""",
 }
+SQL |= {f"final_{n}": final(SQL[n]) for n in ("text_metrics", "visual_metrics", "clean_pool_metrics", "rank_fusion_grid", "hamming_nearest", "hash_boundary_audit")}

@@ -21,6 +21,12 @@ def query(f: Callable[[Study], DataFrame]) -> Callable:
     return f
 
 
+def final(f: Callable[[Study], DataFrame]) -> Callable:
+    """The same query on the final test split."""
+    QUERIES[f"final_{f.__name__}"] = lambda spark, sf_dir: f(Study(spark, sf_dir, "test"))
+    return f
+
+
 def union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -202,6 +208,7 @@ def text_topk(s: Study) -> DataFrame:
     return s.text_ranks.where(F.col("rank") <= 50).select("uid", "item", r6("score"), "rank")
 
 
+@final
 @query
 def text_metrics(s: Study) -> DataFrame:
     return rank.metrics(s.text_ranks, s.positives)
@@ -244,6 +251,7 @@ def dense_scores_topk(s: Study) -> DataFrame:
     return s.dense_ranks.where(F.col("rank") <= 50).select("uid", "item", r6("score"), "rank")
 
 
+@final
 @query
 def visual_metrics(s: Study) -> DataFrame:
     return rank.metrics(s.dense_ranks, s.positives)
@@ -256,24 +264,37 @@ def visual_metrics_by_bucket(s: Study) -> DataFrame:
 
 
 def hash_sides(s: Study) -> tuple[DataFrame, DataFrame]:
-    return s.hashes.join(s.candidates, "item", "left_semi"), s.hashes.join(s.dev.train_items, "item", "left_semi")
+    return s.hashes.join(s.candidates, "item", "left_semi"), s.hashes.join(s.train_items, "item", "left_semi")
 
 
+@final
 @query
 def hamming_nearest(s: Study) -> DataFrame:
     return duplicates.nearest_hash(*hash_sides(s))
 
 
+@final
+@query
+def hash_boundary_audit(s: Study) -> DataFrame:
+    return duplicates.boundary_audit(duplicates.nearest_hash(*hash_sides(s)))
+
+
+@query
+def hash_boundary_examples(s: Study) -> DataFrame:
+    return duplicates.nearest_examples(duplicates.nearest_hash(*hash_sides(s)))
+
+
 @query
 def hamming_histogram(s: Study) -> DataFrame:
     return duplicates.distance_histogram(duplicates.nearest_hash(*hash_sides(s)))
 
 
 def clean(s: Study) -> tuple[DataFrame, DataFrame]:
-    pool = duplicates.clean_candidates(s.candidates, s.dev.train_items, *hash_sides(s))
+    pool = duplicates.clean_candidates(s.candidates, s.train_items, *hash_sides(s))
     return pool, s.positives.join(pool, "item", "left_semi").select("uid", "item")
 
 
+@final
 @query
 def clean_pool_metrics(s: Study) -> DataFrame:
     pool, positives = clean(s)
@@ -284,6 +305,7 @@ def clean_pool_metrics(s: Study) -> DataFrame:
 # --- fusion --------------------------------------------------------------------------------------
 
 
+@final
 @query
 def rank_fusion_grid(s: Study) -> DataFrame:
     return fusion.fusion_grid(fusion.rank_fusion(s.text_ranks, s.dense_ranks), s.positives)
@@ -323,9 +345,9 @@ def gate_thresholds(s: Study) -> DataFrame:
 
 
 def gate(s: Study) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = gate_rows(s).persist()
+    rows = s.kept(gate_rows(s))
     dev = rows.where(F.col("partition") == "gate_dev")
-    cuts = fusion.lower_quantiles(dev, PROTOCOL.gate_shares).persist()
+    cuts = fusion.lower_quantiles(dev, PROTOCOL.gate_shares)
     return rows, cuts, fusion.gated(dev, cuts)
 
 
@@ -334,14 +356,36 @@ def gate_dev_grid(s: Study) -> DataFrame:
     return gate(s)[2]
 
 
+def audited(s: Study) -> tuple[DataFrame, DataFrame]:
+    """The audit part's rows, and (share, threshold) of the policies gate, text and visual."""
+    rows, cuts, grid = gate(s)
+    chosen = cuts.join(F.broadcast(fusion.selected(grid, "share").select("share")), "share", "left_semi").select(F.lit("gate").alias("share"), "threshold")
+    fixed = s.spark.createDataFrame([("text", None), ("visual", float("inf"))], "share string, threshold double")
+    return rows.where(F.col("partition") == "gate_audit"), chosen.unionByName(fixed)
+
+
 @query
 def gate_audit(s: Study) -> DataFrame:
-    rows, cuts, grid = gate(s)
-    chosen = cuts.join(F.broadcast(fusion.selected(grid, "share").select("share")), "share", "left_semi")
-    settings = chosen.select(F.lit("gate").alias("policy"), "threshold").unionByName(s.spark.range(1).select(F.lit("text").alias("policy"), F.lit(None).cast("double").alias("threshold")))
-    settings = settings.unionByName(s.spark.range(1).select(F.lit("visual").alias("policy"), F.lit(float("inf")).alias("threshold")))
-    audit = rows.where(F.col("partition") == "gate_audit")
-    return fusion.gated(audit, settings.withColumnRenamed("policy", "share")).withColumnRenamed("share", "policy")
+    return fusion.gated(*audited(s)).withColumnRenamed("share", "policy")
+
+
+@query
+def gate_contingency(s: Study) -> DataFrame:
+    """(scope, category, users) of hits in the audit part: of all its users, and of those that the gate sends to visual."""
+    return fusion.gate_contingency(*audited(s))
+
+
+@query
+def gate_acceptance(s: Study) -> DataFrame:
+    return fusion.gate_accepted(fusion.gated(*audited(s)))
+
+
+@query
+def gate_partition_check(s: Study) -> DataFrame:
+    """(users, gate_dev, gate_audit, in_both, in_none): the partition is disjoint and covers all users."""
+    part = s.users.select("uid", fusion.gate_partition(F.col("uid")).alias("p"))
+    each = part.groupBy("uid").agg(F.countDistinct("p").alias("n"), F.min("p").alias("p"))
+    return each.agg(F.count("*").alias("users"), F.count_if(F.col("p") == "gate_dev").alias("gate_dev"), F.count_if(F.col("p") == "gate_audit").alias("gate_audit"), F.count_if(F.col("n") > 1).alias("in_both"), F.count_if(F.col("p").isNull()).alias("in_none"))
 
 
 # --- learned fusion ------------------------------------------------------------------------------
@@ -392,32 +436,65 @@ def pair_accuracy(s: Study) -> DataFrame:
     return pairs.accuracy(pair_rows(s))
 
 
-def learned_ranks(s: Study) -> DataFrame:
-    stats = {r.feature: (round(r["mean"], 6), round(r["std"], 6)) for r in pairs.standardisation(pair_rows(s)).collect()}  # three rows
+@query
+def pair_metadata(s: Study) -> DataFrame:
+    return pairs.metadata(pair_rows(s), pairs.eligibility(s.dev.train, pairs.targets(s.dev.train)))
+
+
+def learned_scores(s: Study) -> DataFrame:
+    stats = pairs.standardisation(pair_rows(s))
     scored = s.text_scores.withColumnRenamed("score", "text").join(s.dense_scores.withColumnRenamed("score", "visual"), ["uid", "item"])
-    return rank.ranked(fusion.learned_scores(scored, stats))
+    return s.kept(fusion.learned_scores(scored, stats))
 
 
 @query
 def learned_fusion_metrics(s: Study) -> DataFrame:
-    return rank.metrics(learned_ranks(s), s.positives)
+    return rank.metrics(rank.ranked(learned_scores(s)), s.positives)
+
+
+@query
+def learned_fusion_clean_metrics(s: Study) -> DataFrame:
+    pool, positives = clean(s)
+    return rank.metrics(rank.ranked(learned_scores(s).join(pool, "item", "left_semi")), positives)
+
+
+@query
+def learned_fusion_overlap(s: Study) -> DataFrame:
+    return rank.overlap(rank.ranked(learned_scores(s)), s.text_ranks)
 
 
 @query
 def acceptance_gate(s: Study) -> DataFrame:
-    return fusion.accepted(rank.metrics(learned_ranks(s), s.positives), rank.metrics(s.text_ranks, s.positives))
+    return fusion.accepted(rank.metrics(rank.ranked(learned_scores(s)), s.positives), rank.metrics(s.text_ranks, s.positives))
+
+
+def margins(s: Study) -> tuple[DataFrame, list[float]]:
+    """Standardised margins of the pair set, as the ranker takes them, and the features' deviations."""
+    p = s.kept(pair_rows(s))
+    stats = {r.feature: r["std"] for r in pairs.standardisation(p).collect()}  # three rows
+    names = ("text", "visual", "product")
+    rows = p.select("is_calibration", *[((F.col(f"pos_{c}") - F.col(f"neg_{c}")) / stats[c]).alias(f"m{i}") for i, c in enumerate(names)])
+    return s.kept(rows), [stats[c] for c in names]
 
 
 @query
 def learned_fusion_train(s: Study) -> DataFrame:
-    p = pair_rows(s).persist()
-    stats = {r.feature: r["std"] for r in pairs.standardisation(p).collect()}
-    margins = p.select("is_calibration", *[((F.col(f"pos_{c}") - F.col(f"neg_{c}")) / stats[c]).alias(f"m{i}") for i, c in enumerate(("text", "visual", "product"))])
-    model = fusion.train_ranker(margins.persist())
+    model = fusion.train_ranker(margins(s)[0])
     rows = [(h["epoch"], h["train_loss"], h["calibration_loss"], *h["weights"], h["epoch"] == model["best_epoch"]) for h in model["history"]]
     return s.spark.createDataFrame(rows, "epoch int, train_loss double, calibration_loss double, w_text double, w_visual double, w_product double, is_best boolean")
 
 
+@query
+def learned_fusion_refit(s: Study) -> DataFrame:
+    """The final weights: all pairs for as many epochs as calibration chose, with their quality and original scale."""
+    rows, stds = margins(s)
+    epochs = fusion.train_ranker(rows)["best_epoch"]
+    weights = fusion.train_ranker(rows, rounds=epochs, refit=True)["weights"]
+    scaled = [w / z for w, z in zip(weights, stds, strict=True)]
+    extra = [(f"{n}_{c}", x) for n, xs in (("w", weights), ("scale", [x / sum(scaled) for x in scaled])) for c, x in zip(("text", "visual", "product"), xs, strict=True)]
+    return fusion.ranker_quality(rows, weights).withColumns({"epochs": F.lit(epochs)} | {c: F.lit(x) for c, x in extra})
+
+
 # --- diagnostics ---------------------------------------------------------------------------------
 
 
@@ -441,7 +518,7 @@ def target_similarity(s: Study) -> DataFrame:
 
 @query
 def near_duplicate_audit(s: Study) -> DataFrame:
-    near = target_similarity(s).persist()
+    near = s.kept(target_similarity(s))
     kept = near.where(F.col("similarity") < PROTOCOL.near_duplicate).select("uid", "item")
     m = rank.averages(rank.user_metrics(s.text_ranks, kept, (10,)), "k").drop("k").withColumnRenamed("users", "kept_users")
     return near.agg(F.count("*").alias("positives"), F.count_if(F.col("similarity") >= 0.5).alias("near_50"), F.count_if(F.col("similarity") >= 0.8).alias("near_80")).crossJoin(m)  # single rows
@@ -469,15 +546,15 @@ def case_strong_hits(s: Study) -> DataFrame:
 
 @query
 def case_confident_misses(s: Study) -> DataFrame:
-    # pools here hold fewer than 50 candidates at small scale, so a miss is a best rank beyond 10
-    return cases(s).where("best_rank > 10 and top_score > 0").orderBy(F.desc("top_score"), "uid").limit(5).select("uid", "best_item", "best_rank", "top_item", r6("top_score"))
+    return cases(s).where((F.col("best_rank") > PROTOCOL.miss_beyond) & (F.col("top_score") > 0)).orderBy(F.desc("top_score"), "uid").limit(5).select("uid", "best_item", "best_rank", "top_item", r6("top_score"))
 
 
 @query
 def exposure_summary(s: Study) -> DataFrame:
     def one(name: str, ranks: DataFrame) -> DataFrame:
         shown = ranks.where(F.col("rank") <= 10).groupBy("item").agg(F.count("*").alias("n"))
-        slots = s.candidates.join(shown, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("n")).persist()
+        slots = s.candidates.join(shown, "item", "left").select("item", F.coalesce("n", F.lit(0)).alias("n"))
+        slots = s.kept(slots)
         basic = slots.agg(F.lit(name).alias("model"), F.count("*").alias("candidates"), F.round(F.avg((F.col("n") > 0).cast("double")), 6).alias("coverage"), F.max("n").alias("most"))
         share = quantiles.head_share(slots, "n", (1, 10)).groupBy().agg(*[F.round(F.max(F.when(F.col("percent") == p, F.col("share"))), 6).alias(f"top_{p}_share") for p in (1, 10)])
         return basic.crossJoin(quantiles.gini(slots, "n").select(r6("gini"))).crossJoin(share)  # single rows
@@ -495,8 +572,7 @@ def demo_samples(s: Study) -> DataFrame:
     """One user per bucket and outcome: the least hash."""
     hits = rank.hit_flags(s.text_ranks, s.positives, "hit")
     outcome = F.when(F.col("hit"), "hit").otherwise("miss")
-    rows = hits.join(s.buckets, "uid").select("bucket", outcome.alias("outcome"), "uid", F.sha2(F.concat(F.lit("sample:"), F.col("uid").cast("string")).cast("binary"), 256).alias("h"))
-    picked = rows.groupBy("bucket", "outcome").agg(F.min(F.struct("h", "uid")).alias("m")).select("bucket", "outcome", F.col("m.uid").alias("uid"))
+    picked = explain.stratified(hits.join(s.buckets, "uid").withColumn("outcome", outcome), ["bucket", "outcome"], "uid", "uid", "sample")
     titles = s.titles.select("item", core.shortened("title").alias("t"))
     last = Window.partitionBy("uid").orderBy(F.desc("event_id"))
     recent = s.history.join(F.broadcast(picked.select("uid")), "uid").withColumn("back", F.row_number().over(last)).where("back <= 6").join(titles, "item")
@@ -557,13 +633,3 @@ def self_join_similarity_top10(s: Study) -> DataFrame:
 def dhash_from_grid(s: Study) -> DataFrame:
     rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.transform(F.sequence(F.lit(0), F.lit(8)), lambda x: (F.col("part") * 31 + y * 17 + x * x * F.col("part")) % 256))
     return s.table("part").select(F.col("p_partkey").cast("long").alias("part")).select("part", core.difference_hash(rows).alias("dhash"))
-
-
-@query
-def jpeg_header_dims(s: Study) -> DataFrame:
-    from ..functions.jpeg import jpeg_dimensions
-
-    head, frame = bytes.fromhex("ffd8ffe000104a46494600010100000100010000"), bytes.fromhex("ffc0001108")
-    rows = [(i, bytearray(head + frame + (10 * i).to_bytes(2, "big") + (7 * i).to_bytes(2, "big") + b"\x03")) for i in range(1, 9)] + [(9, bytearray(head)), (10, bytearray(b"GIF89a")), (11, None)]
-    df = s.spark.createDataFrame(rows, "item long, content binary")
-    return df.select("item", jpeg_dimensions("content").alias("d")).select("item", "d.width", "d.height")

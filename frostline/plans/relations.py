@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,11 +16,22 @@ from ..operators import dense, rank, split, text
 class Study:
     """events give interactions, documents titles, embeddings features and sign-bit hashes.
 
-    Relations that several parts of one query read are persisted to memory and disk for that query.
+    Relations that several parts of one query read are persisted to memory and disk, and released when the session's
+    next study begins; a result that is still read then is computed without them. `stage` says which split's cold items
+    are ranked: those of `validation`, or of the final `test`, whose history reaches to the second cut-off.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+    held: ClassVar[dict[str, list[DataFrame]]] = {}
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stage: str = "validation"):
+        self.spark, self.dir, self.stage = spark, sf_dir, stage
+        self.key = spark.sparkContext.applicationId
+        for df in self.held.pop(self.key, []):
+            df.unpersist()
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        self.held.setdefault(self.key, []).append(df.persist())
+        return df
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -31,7 +43,7 @@ class Study:
         base = F.floor(F.col("event_id") * nv / F.lit(ne)).cast("long") if ne else F.lit(0)
         rows = events.select("user_id", "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), base.alias("base"))
         item = F.when(F.col("event_id") % 3 == 0, (F.col("event_id") * 7919) % (F.col("base") + 1)).otherwise(F.col("base"))
-        return rows.select(F.col("user_id").alias("uid"), item.alias("item"), "ts_ms", "event_id")
+        return self.kept(rows.select(F.col("user_id").alias("uid"), item.alias("item"), "ts_ms", "event_id"))
 
     @cached_property
     def cuts(self) -> tuple[int, int]:
@@ -45,6 +57,15 @@ class Study:
     def final(self) -> split.Split:
         return split.Split("test", self.interactions, self.cuts[1])
 
+    @cached_property
+    def split(self) -> split.Split:
+        """The split whose cold items are ranked."""
+        return {"validation": self.dev, "test": self.final}[self.stage]
+
+    @cached_property
+    def train_items(self) -> DataFrame:
+        return self.kept(self.split.train_items)
+
     @cached_property
     def titles(self) -> DataFrame:
         """Whole texts of the items that occur."""
@@ -61,32 +82,32 @@ class Study:
 
     @cached_property
     def counts(self) -> DataFrame:
-        return text.term_counts(self.titles)
+        return self.kept(text.term_counts(self.titles))
 
     @cached_property
     def idf(self) -> DataFrame:
-        return text.inverse_frequency(self.counts, self.dev.train_items, PROTOCOL.min_df)
+        return text.inverse_frequency(self.counts, self.train_items, PROTOCOL.min_df)
 
     @cached_property
     def vectors(self) -> DataFrame:
-        return text.vectors(self.counts, self.idf)
+        return self.kept(text.vectors(self.counts, self.idf))
 
     @cached_property
     def positives(self) -> DataFrame:
-        return self.dev.positives
+        return self.kept(self.split.positives)
 
     @cached_property
     def users(self) -> DataFrame:
-        return self.positives.select("uid").distinct()
+        return self.kept(self.positives.select("uid").distinct())
 
     @cached_property
     def candidates(self) -> DataFrame:
-        return self.dev.cold_items
+        return self.kept(self.split.cold_items)
 
     @cached_property
     def history(self) -> DataFrame:
-        """Development rows of users with positives, repeats kept."""
-        return self.dev.train.join(self.users, "uid", "left_semi").select("uid", "item", "event_id")
+        """The split's history of users with positives, repeats kept."""
+        return self.split.train.join(self.users, "uid", "left_semi").select("uid", "item", "event_id")
 
     @cached_property
     def text_profiles(self) -> DataFrame:
@@ -98,11 +119,11 @@ class Study:
 
     @cached_property
     def text_scores(self) -> DataFrame:
-        return text.densified(text.scores(self.text_profiles, self.vectors, self.candidates), self.users, self.candidates)
+        return self.kept(text.densified(text.scores(text.profile_sums(self.history, self.vectors), self.vectors, self.candidates), self.users, self.candidates))
 
     @cached_property
     def dense_scores(self) -> DataFrame:
-        return dense.scores(self.dense_profiles, self.features, self.candidates)
+        return self.kept(dense.scores(self.dense_profiles, self.features, self.candidates))
 
     @cached_property
     def text_ranks(self) -> DataFrame:
