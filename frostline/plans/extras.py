@@ -323,9 +323,9 @@ def archive_extensions(s: Study) -> DataFrame:
     return archive.extensions(images(s))
 
 
-@query("SELECT count(*) FILTER (n > 1) groups, sum(n) FILTER (n > 1)::BIGINT members FROM (SELECT count(*) n FROM imgs GROUP BY text, w, h)", ARCHIVE)
+@query("SELECT count(*) FILTER (n > 1) groups, coalesce(sum(n) FILTER (n > 1), 0)::BIGINT members FROM (SELECT count(*) n FROM imgs GROUP BY text, w, h)", ARCHIVE)
 def archive_duplicates(s: Study) -> DataFrame:
-    return archive.duplicates(images(s)).agg(F.count("*").alias("groups"), F.sum("n").alias("members"))
+    return archive.duplicates(images(s)).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n"), F.lit(0)).alias("members"))
 
 
 @query("SELECT item, CAST(coalesce(w, -1) AS INT) width, CAST(coalesce(h, -1) AS INT) height FROM imgs", ARCHIVE)
