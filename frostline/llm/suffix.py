@@ -6,7 +6,7 @@ minimizers. Neighbouring windows of one minimizer form a segment. Segments whose
 can't repeat and stay where they are; of the others, equal segments of a part travel once, with the smallest document.
 A minimizer of more than HOT segments, such as one in a line that all documents share, isn't one bucket: its windows are
 keyed by the bytes around it that they have in common, all but CLASS - 1 of their own, which again equal windows share.
-A bucket's distinct segments get a suffix array, and breadth-first backward extension over its Burrows-Wheeler rows
+A bucket's distinct segments that share a window, by its hash, get a suffix array, and breadth-first backward extension over its Burrows-Wheeler rows
 settles where neighbouring suffixes share 0, 1, 2, ... bytes, stopping at LEAST: what is unsettled then shares LEAST
 bytes. The smallest document of each such class goes back to the parts, where documents lose the covered bytes.
 
@@ -42,15 +42,15 @@ NO_ID = -(2**63)
 _letters = scramble(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def grams(tape: np.ndarray) -> np.ndarray:
-    """Scrambled hashes of all GRAM-byte strings, put together from those of powers of two."""
+def grams(tape: np.ndarray, n: int = GRAM) -> np.ndarray:
+    """Scrambled hashes of all n-byte strings, put together from those of powers of two."""
     h, size, whole, have = _letters[tape], 1, None, 0
     with np.errstate(over="ignore"):
         while True:
-            if GRAM & size:
+            if n & size:
                 whole = h if whole is None else whole[: len(whole) - size] * np.uint64(pow(0xD6E8FEB86659FD93, size, 2**64)) + h[have:]
                 have += size
-            if have == GRAM:
+            if have == n:
                 return scramble(whole)
             h = h[:-size] * np.uint64(pow(0xD6E8FEB86659FD93, size, 2**64)) + h[size:]
             size *= 2
@@ -204,6 +204,30 @@ def earliest(text: np.ndarray, lens: np.ndarray, docs: np.ndarray, least: int) -
     return by_place[inside]
 
 
+def repeating(text: np.ndarray, lens: np.ndarray, least: int) -> np.ndarray:
+    """Which of the segments, one after another, hold a window whose hash occurs again."""
+    ends = np.cumsum(lens)
+    inside = np.arange(len(text)) + least <= np.repeat(ends, lens)
+    h, owner = grams(text, least)[inside[: len(text) - least + 1]], np.repeat(np.arange(len(lens)), lens - least + 1)
+    order = np.argsort(h)
+    same = h[order[1:]] == h[order[:-1]]
+    found = np.zeros(len(lens), bool)
+    found[owner[order[1:][same]]] = found[owner[order[:-1][same]]] = True
+    return found
+
+
+def settled(text: np.ndarray, lens: np.ndarray, docs: np.ndarray, least: int) -> np.ndarray:
+    """earliest(), for which only segments that share a window with another or with themselves need a transform.
+
+    Segments meet by GRAM bytes, which repeat the more the larger the corpus is; most of them share no window.
+    """
+    again, n = repeating(text, lens, least), lens - least + 1
+    found = np.repeat(docs, n)
+    if again.any():
+        found[np.repeat(again, n)] = earliest(text[np.repeat(again, lens)], lens[again], docs[again], least)
+    return found
+
+
 class Part:
     """The candidate segments of one part's documents, equal ones once, in an order that any rerun finds again."""
 
@@ -320,7 +344,7 @@ def remove_repeats(documents: DataFrame, least: int = LEAST, id_col: str = "doc_
             own = np.flatnonzero(turns == turn)
             if not len(own):
                 continue
-            v = earliest(known.bytes_of(own), known.lens[own], docs_[own], least)
+            v = settled(known.bytes_of(own), known.lens[own].astype(np.int64), docs_[own], least)
             n = known.lens[own] - least + 1
             opens = np.concatenate([[True], v[1:] != v[:-1]])
             opens[np.cumsum(n) - n] = True
