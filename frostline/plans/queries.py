@@ -417,7 +417,7 @@ def short_negative_pools(s: Study) -> DataFrame:
 
 
 def pair_rows(s: Study) -> DataFrame:
-    return pairs.features(s.dev.train, s.vectors, s.features)
+    return pairs.features(s.dev.train, s.counts, s.idf, s.features)
 
 
 @query
