@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROTOCOL
 from ..functions import core
-from ..operators import dense, duplicates, explain, fusion, pairs, quantiles, rank, split, text
+from ..operators import blocks, dense, duplicates, explain, fusion, pairs, quantiles, rank, split, text
 from .relations import Study
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -308,22 +308,22 @@ def clean_pool_metrics(s: Study) -> DataFrame:
 @final
 @query
 def rank_fusion_grid(s: Study) -> DataFrame:
-    return fusion.fusion_grid(fusion.rank_fusion(s.text_ranks, s.dense_ranks), s.positives)
+    return fusion.fusion_grid(s.ranks("fused", top=10)[0], s.positives)
 
 
 @query
 def rank_fusion_selected(s: Study) -> DataFrame:
-    return fusion.selected(fusion.fusion_grid(fusion.rank_fusion(s.text_ranks, s.dense_ranks), s.positives), "weight")
+    return fusion.selected(fusion.fusion_grid(s.ranks("fused", top=10)[0], s.positives), "weight")
 
 
 @query
 def complementarity(s: Study) -> DataFrame:
-    return rank.contingency(s.text_ranks, s.dense_ranks, s.positives)
+    return rank.contingency(*s.ranks("text", "visual", top=10), s.positives)
 
 
 @query
 def topk_overlap(s: Study) -> DataFrame:
-    return rank.overlap(s.text_ranks, s.dense_ranks)
+    return rank.overlap(*s.ranks("text", "visual", top=10))
 
 
 @query
@@ -334,13 +334,14 @@ def gate_partition(s: Study) -> DataFrame:
 def gate_rows(s: Study) -> DataFrame:
     """(uid, partition, top_score, t_*, v_*) of every user."""
     named = lambda ranks, p: rank.user_metrics(ranks, s.positives, (10,)).select("uid", *[F.col(c).alias(f"{p}_{c}") for c in ("recall", "ndcg", "hit")])
-    top = s.text_scores.groupBy("uid").agg(F.max("score").alias("top_score"))
-    return named(s.text_ranks, "t").join(named(s.dense_ranks, "v"), "uid").join(top, "uid").withColumn("partition", fusion.gate_partition(F.col("uid")))
+    by_text, by_look = s.ranks("text", "visual", top=10)
+    top = by_text.where("rank = 1").select("uid", F.col("score").alias("top_score"))
+    return named(by_text, "t").join(named(by_look, "v"), "uid").join(top, "uid").withColumn("partition", fusion.gate_partition(F.col("uid")))
 
 
 @query
 def gate_thresholds(s: Study) -> DataFrame:
-    top = s.text_scores.groupBy("uid").agg(F.max("score").alias("top_score")).where(fusion.gate_partition(F.col("uid")) == "gate_dev")
+    top = s.ranks("text", top=1)[0].where("rank = 1").select("uid", F.col("score").alias("top_score")).where(fusion.gate_partition(F.col("uid")) == "gate_dev")
     return fusion.lower_quantiles(top, PROTOCOL.gate_shares).select("share", r6("threshold"))
 
 
@@ -441,31 +442,31 @@ def pair_metadata(s: Study) -> DataFrame:
     return pairs.metadata(pair_rows(s), pairs.eligibility(s.dev.train, pairs.targets(s.dev.train)))
 
 
-def learned_scores(s: Study) -> DataFrame:
-    stats = pairs.standardisation(pair_rows(s))
-    scored = s.text_scores.withColumnRenamed("score", "text").join(s.dense_scores.withColumnRenamed("score", "visual"), ["uid", "item"])
-    return s.kept(fusion.learned_scores(scored, stats))
+def learned_ranks(s: Study, *more: str, **limits) -> list[DataFrame]:
+    """Ranks by the learned fusion, and by more kinds."""
+    stats = fusion.statistics(pairs.standardisation(pair_rows(s))).head().asDict()  # one row
+    return s.ranks("learned", *more, stats=stats, **limits)
 
 
 @query
 def learned_fusion_metrics(s: Study) -> DataFrame:
-    return rank.metrics(rank.ranked(learned_scores(s)), s.positives)
+    return rank.metrics(learned_ranks(s)[0], s.positives)
 
 
 @query
 def learned_fusion_clean_metrics(s: Study) -> DataFrame:
     pool, positives = clean(s)
-    return rank.metrics(rank.ranked(learned_scores(s).join(pool, "item", "left_semi")), positives)
+    return rank.metrics(learned_ranks(s, pool=pool)[0], positives)
 
 
 @query
 def learned_fusion_overlap(s: Study) -> DataFrame:
-    return rank.overlap(rank.ranked(learned_scores(s)), s.text_ranks)
+    return rank.overlap(*learned_ranks(s, "text", top=10))
 
 
 @query
 def acceptance_gate(s: Study) -> DataFrame:
-    return fusion.accepted(rank.metrics(rank.ranked(learned_scores(s)), s.positives), rank.metrics(s.text_ranks, s.positives))
+    return fusion.accepted(*[rank.metrics(r, s.positives, (10,)) for r in learned_ranks(s, "text", top=10)])
 
 
 def margins(s: Study) -> tuple[DataFrame, list[float]]:
@@ -559,7 +560,7 @@ def exposure_summary(s: Study) -> DataFrame:
         share = quantiles.head_share(slots, "n", (1, 10)).groupBy().agg(*[F.round(F.max(F.when(F.col("percent") == p, F.col("share"))), 6).alias(f"top_{p}_share") for p in (1, 10)])
         return basic.crossJoin(quantiles.gini(slots, "n").select(r6("gini"))).crossJoin(share)  # single rows
 
-    return union([one("text", s.text_ranks), one("visual", s.dense_ranks)])
+    return union(one(n, r) for n, r in zip(("text", "visual"), s.ranks("text", "visual", top=10), strict=True))
 
 
 # --- explanation ---------------------------------------------------------------------------------
@@ -589,8 +590,8 @@ def history_catalog(s: Study) -> DataFrame:
 
 @query
 def explain_terms(s: Study) -> DataFrame:
-    top = s.text_ranks.where((F.col("rank") <= 3) & (F.col("score") > 0))
-    return explain.contributions(s.text_profiles, s.vectors, top)
+    top = s.ranks("text", top=3)[0].where((F.col("rank") <= 3) & (F.col("score") > 0))
+    return blocks.contributions(s.history, s.counts, s.idf, top)
 
 
 @query
