@@ -404,21 +404,21 @@ def loo_targets(s: Study) -> DataFrame:
 
 @query
 def availability_asof(s: Study) -> DataFrame:
-    return pairs.availability(s.dev.train, pairs.targets(s.dev.train)).select("uid", "item", "available")
+    return pairs.availability(s.tally, pairs.targets(s.tally)).select("uid", "item", "available")
 
 
 @query
 def negative_samples(s: Study) -> DataFrame:
-    return pairs.negatives(s.dev.train, pairs.targets(s.dev.train))
+    return pairs.negatives(s.tally, pairs.targets(s.tally))
 
 
 @query
 def short_negative_pools(s: Study) -> DataFrame:
-    return pairs.short_pools(s.dev.train, pairs.targets(s.dev.train))
+    return pairs.short_pools(s.tally, pairs.targets(s.tally))
 
 
 def pair_rows(s: Study) -> DataFrame:
-    return pairs.features(s.dev.train, s.counts, s.idf, s.features)
+    return pairs.features(s.tally, s.packs, s.terms, s.features)
 
 
 @query
@@ -439,7 +439,7 @@ def pair_accuracy(s: Study) -> DataFrame:
 
 @query
 def pair_metadata(s: Study) -> DataFrame:
-    return pairs.metadata(pair_rows(s), pairs.eligibility(s.dev.train, pairs.targets(s.dev.train)))
+    return pairs.metadata(pair_rows(s), pairs.eligibility(s.tally, pairs.targets(s.tally)))
 
 
 def learned_ranks(s: Study, *more: str, **limits) -> list[DataFrame]:
@@ -574,9 +574,10 @@ def demo_samples(s: Study) -> DataFrame:
     hits = rank.hit_flags(s.text_ranks, s.positives, "hit")
     outcome = F.when(F.col("hit"), "hit").otherwise("miss")
     picked = explain.stratified(hits.join(s.buckets, "uid").withColumn("outcome", outcome), ["bucket", "outcome"], "uid", "uid", "sample")
-    titles = s.titles.select("item", core.shortened("title").alias("t"))
+    titles = s.table("documents").select(F.col("doc_id").alias("item"), core.shortened("text").alias("t"))
     last = Window.partitionBy("uid").orderBy(F.desc("event_id"))
-    recent = s.history.join(F.broadcast(picked.select("uid")), "uid").withColumn("back", F.row_number().over(last)).where("back <= 6").join(titles, "item")
+    recent = s.history.join(F.broadcast(picked.select("uid")), "uid").withColumn("back", F.row_number().over(last)).where("back <= 6")
+    recent = F.broadcast(recent).join(titles, "item")  # six rows a picked user
     recent = recent.groupBy("uid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "t"))), lambda e: e["t"]), "|").alias("history_titles"))
     return picked.join(recent, "uid")
 
@@ -591,7 +592,7 @@ def history_catalog(s: Study) -> DataFrame:
 @query
 def explain_terms(s: Study) -> DataFrame:
     top = s.ranks("text", top=3)[0].where((F.col("rank") <= 3) & (F.col("score") > 0))
-    return blocks.contributions(s.history, s.counts, s.idf, top)
+    return blocks.contributions(s.past, s.packs, s.terms, top)
 
 
 @query
