@@ -591,8 +591,7 @@ def history_catalog(s: Study) -> DataFrame:
 
 @query
 def explain_terms(s: Study) -> DataFrame:
-    top = s.ranks("text", top=3)[0].where((F.col("rank") <= 3) & (F.col("score") > 0))
-    return blocks.contributions(s.past, s.packs, s.terms, top)
+    return blocks.top_contributions(s.past, s.packs, s.terms, s.users, s.candidates)
 
 
 @query
