@@ -8,7 +8,7 @@ import numpy as np
 
 from .hashing import SpanTable, spans
 
-#: Bytes that a worker's known segments and their ids take before they are forgotten.
+#: Bytes that a worker's known segments and their ids take before they are forgotten, if nothing else is said.
 KNOWN_BYTES = 32 << 20
 
 
@@ -33,8 +33,8 @@ class SegmentCoder:
     A text's first segment stands alone; every other one has the space before it, under which it is known.
     """
 
-    def __init__(self, learn: Callable[[str, list[str]], tuple[np.ndarray, np.ndarray]], kind):
-        self.learn, self.kind = learn, np.dtype(kind)
+    def __init__(self, learn: Callable[[str, list[str]], tuple[np.ndarray, np.ndarray]], kind, most: int | None = None):
+        self.learn, self.kind, self.most = learn, np.dtype(kind), KNOWN_BYTES if most is None else most
         self.table = SpanTable()
         self.forget()
 
@@ -53,7 +53,7 @@ class SegmentCoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and how many each whole text has."""
-        if self.table.held + self.ids.nbytes + 2 * self.at.nbytes > KNOWN_BYTES:
+        if self.table.held + self.ids.nbytes + 2 * self.at.nbytes > self.most:
             self.forget()
         raws = [t.encode("utf-8", "surrogatepass") for t in texts]
         tape = b"\n".join([*raws, b"", b""])  # two more bytes may be looked at

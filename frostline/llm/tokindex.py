@@ -30,6 +30,8 @@ from .hashing import spans
 END_ID = 0
 #: Ids in a shard before the next one begins; a longer document has a shard of its own.
 SHARD_IDS = 250_000
+#: Bytes of known segments and their ids: what is forgotten is encoded again, and this operator's workers hold little else.
+KNOWN_BYTES = 64 << 20
 #: Segments that the library encodes in one run.
 RUN = 64
 NULL_KEY = -(2**63)
@@ -166,7 +168,7 @@ class LibraryEncoder:
         self.opens = np.zeros(max(vocab.values()) + 1, bool)
         self.opens[[i for t, i in vocab.items() if t.startswith(SPACE)]] = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.coder = SegmentCoder(self._learn, self.kind)
+        self.coder = SegmentCoder(self._learn, self.kind, KNOWN_BYTES)
 
     def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
